@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import gumbel, quality_rules, token_counts
 from .common import read
 
 
@@ -13,7 +13,15 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good", "votes")
 
 
-QUERIES = {"op7_quality_rules": op7_quality_rules}
+def op1_gumbel_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gumbel.sample(read(spark, sf_dir, "documents"), k=2)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_gumbel_sampling": op1_gumbel_sampling, "op9_token_counts": op9_token_counts, "op7_quality_rules": op7_quality_rules}
 
 #: DuckDB SQL of the queries that SQL can express whole.
 ORACLES: dict[str, str] = {}
