@@ -49,7 +49,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, rows: Callable[[list, l
     return df.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema)
 
 
-def map_rows(df: DataFrame, text_col: str, change: Callable[[list[str]], dict[str, pa.Array]], schema: str | None = None) -> DataFrame:
+def map_rows(df: DataFrame, text_col: str, change: Callable[[list[str | None]], dict[str, pa.Array]], schema: str | None = None) -> DataFrame:
     """Maps whole rows: `change` gets the texts of a slice and returns columns that replace or extend the row's."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -58,7 +58,7 @@ def map_rows(df: DataFrame, text_col: str, change: Callable[[list[str]], dict[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, text_col):
-            new = change(texts(part, text_col))
+            new = change(part.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays([new[f.name] if f.name in new else part.column(f.name).cast(f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)

@@ -162,7 +162,7 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     mark = free_name("_measured", docs.columns)
 
     def change(texts):
-        return {mark: pa.array([",".join(map(str, measure(t))) for t in texts], type=pa.string())}
+        return {mark: pa.array([",".join(map(str, measure(t or ""))) for t in texts], type=pa.string())}
 
     wide = map_rows(docs, text_col, change, StructType([*docs.schema.fields, StructField(mark, StringType())]))
     values = F.split(F.col(mark), ",")

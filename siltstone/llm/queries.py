@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import gumbel, quality_rules, token_counts
+from . import gumbel, pii, quality_rules, simhash, token_counts
 from .common import read
 
 
@@ -21,7 +22,23 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_gumbel_sampling": op1_gumbel_sampling, "op9_token_counts": op9_token_counts, "op7_quality_rules": op7_quality_rules}
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_email to n_phone count the base spans; the columns n_email_all to n_phone_all add the disguised ones, which spans lists too."""
+    return pii.find_all(read(spark, sf_dir, "documents"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {
+    "op1_gumbel_sampling": op1_gumbel_sampling,
+    "op2_pii": op2_pii,
+    "op7_quality_rules": op7_quality_rules,
+    "op9_token_counts": op9_token_counts,
+    "op10_simhash": op10_simhash,
+}
 
 #: DuckDB SQL of the queries that SQL can express whole.
 ORACLES: dict[str, str] = {}
