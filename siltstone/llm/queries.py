@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gumbel, pii, quality_rules, simhash, token_counts
+from . import factorisation, gumbel, html_text, pii, quality_rules, simhash, syncmers, token_counts
 from .common import read
 
 
@@ -27,6 +27,19 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_all(read(spark, sf_dir, "documents"))
 
 
+def op4_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return factorisation.score(docs, factorisation.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_all(read(spark, sf_dir, "pages"))
+
+
+def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -35,7 +48,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_gumbel_sampling": op1_gumbel_sampling,
     "op2_pii": op2_pii,
+    "op4_factorisation": op4_factorisation,
+    "op5_html_text": op5_html_text,
     "op7_quality_rules": op7_quality_rules,
+    "op8_syncmers": op8_syncmers,
     "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
 }
