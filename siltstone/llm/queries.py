@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import factorisation, gumbel, html_text, pii, quality_rules, simhash, syncmers, token_counts
+from . import factorisation, gumbel, html_text, mixing, pii, pseudo_likelihood, quality_rules, simhash, syncmers, token_counts
 from .common import read
 
 
@@ -27,6 +27,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_all(read(spark, sf_dir, "documents"))
 
 
+def op3_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.score(read(spark, sf_dir, "documents"))
+
+
 def op4_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return factorisation.score(docs, factorisation.fit(docs, read(spark, sf_dir, "labels")))
@@ -36,6 +40,14 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_all(read(spark, sf_dir, "pages"))
 
 
+#: Wanted weights of the languages, the domains that labelled rows name.
+TARGETS = {"en": 0.6, "fr": 0.15, "de": 0.15, "es": 0.1}
+
+
+def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), TARGETS)
+
+
 def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(read(spark, sf_dir, "documents"))
 
@@ -48,8 +60,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_gumbel_sampling": op1_gumbel_sampling,
     "op2_pii": op2_pii,
+    "op3_pseudo_likelihood": op3_pseudo_likelihood,
     "op4_factorisation": op4_factorisation,
     "op5_html_text": op5_html_text,
+    "op6_soft_mixing": op6_soft_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op8_syncmers": op8_syncmers,
     "op9_token_counts": op9_token_counts,
