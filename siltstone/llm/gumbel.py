@@ -390,11 +390,10 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
 
 def decode(encoded: DataFrame, ids_col: str = "ids", model: str = unigram.DEFAULT_MODEL, out_col: str = "text") -> DataFrame:
     """Adds the text of an array of ids as out_col (or replaces a column of that name); null ids give null."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
-    def back(ids: "pd.Series") -> "pd.Series":  # noqa: F821
+    def texts_of(ids: pa.Array) -> pa.Array:
         own = unigram.load(model)
-        return ids.map(lambda x: None if x is None else own.decode(list(x)))
+        return pa.array([None if x is None else own.decode(x) for x in ids.to_pylist()], pa.string())
+
+    back = F.arrow_udf(texts_of, "string", F.ArrowUDFType.SCALAR)
 
     return encoded.withColumn(out_col, back(F.col(ids_col)))

@@ -1,0 +1,171 @@
+"""SimHash groups and syncmer fingerprints against brute force."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from xxhash import xxh64_intdigest
+
+from siltstone.llm import simhash, syncmers
+
+
+def words(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text).translate({ord(c): " " for c in "\t\n\x0b\x0c\r"}).split(" ")
+
+
+def brute_fingerprint(text):
+    w = [x for x in words(text) if x]
+    if not w:
+        return 0
+    hashes = [xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(pairs, radius=3):
+    """The smallest id reachable for each (id, fingerprint)."""
+    label = {i: i for i, _ in pairs}
+    changed = True
+    while changed:
+        changed = False
+        for a, x in pairs:
+            for b, y in pairs:
+                if (x ^ y).bit_count() <= radius and label[b] < label[a]:
+                    label[a] = label[b]
+                    changed = True
+    return label
+
+
+def test_fingerprints(docs):
+    texts = {d.doc_id: d.text or "" for d in docs.collect() if d.doc_id is not None}
+    for r in simhash.fingerprints(docs).collect():
+        if r.doc_id is not None:
+            assert r.fp % 2**64 == brute_fingerprint(texts[r.doc_id])
+
+
+def clusters(seed, n):
+    rng = random.Random(seed)
+    out = {0}
+    while len(out) < n:
+        center = rng.getrandbits(64)
+        for _ in range(rng.randint(1, 12)):
+            x = center
+            for b in rng.sample(range(64), rng.randint(0, 5)):
+                x ^= 1 << b
+            out.add(x)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("rows", [3, 4096])
+def test_components_equal_all_pairs(spark, rows):
+    fps = clusters(5, 250)
+    df = spark.createDataFrame([(x - 2**64 if x >= 2**63 else x,) for x in fps], "fp bigint")
+    got = {r.node % 2**64: r.root % 2**64 for r in simhash.components(simhash.forest(df, group_rows=rows)).collect()}
+    want = brute_components([(i, x) for i, x in enumerate(fps)])
+    groups = {}
+    for i, x in enumerate(fps):
+        groups.setdefault(want[i], set()).add(x)
+    found = {}
+    for x in fps:
+        found.setdefault(got.get(x, x), set()).add(x)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, found.values()))
+
+
+def test_a_large_group_in_one_key():
+    """The blocks of a key with more rows than go pair by pair at once."""
+    rng = np.random.default_rng(1)
+    fps = np.unique(np.array([sum(1 << int(b) for b in rng.choice(64, 3, replace=False)) for _ in range(700)], dtype=np.uint64))
+    member, root = simhash.linked(fps, np.zeros(len(fps), dtype=np.int64))
+    label = brute_components([(i, int(x)) for i, x in enumerate(fps)])
+    got = dict(zip(member.tolist(), root.tolist(), strict=True))
+    assert [got.get(i, i) for i in range(len(fps))] == [label[i] for i in range(len(fps))]
+
+
+def test_groups(spark, docs, corpus):
+    for some in (docs, corpus.limit(120)):
+        rows = simhash.groups(some).collect()
+        assert len(rows) == some.count()
+        label = brute_components([(r.doc_id, r.fp % 2**64) for r in rows if r.doc_id is not None])
+        for r in rows:
+            if r.doc_id is not None:
+                assert r.component_id == label[r.doc_id]
+    found = {r.doc_id: r.component_id for r in simhash.groups(docs).collect() if r.doc_id is not None}
+    assert found[1] == found[2] == 1 and found[3] == found[4] == found[9] == 3
+    assert simhash.groups(docs.limit(0)).count() == 0
+
+
+def test_keep_one(spark, docs, corpus):
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert sorted(i for i in ids if i is not None) == [1, 3, 5, 6, 7, 8, 10] and ids.count(None) == 1
+    label = {r.component_id for r in simhash.groups(corpus).collect()}
+    assert sorted(r.doc_id for r in simhash.keep_one(corpus).collect()) == sorted(label)
+
+
+# Syncmers -----------------------------------------------------------------
+
+
+def brute_anchors(text):
+    """Closed syncmers by their definition, one window at a time."""
+    k, s = syncmers.K, syncmers.S
+
+    def h(t):
+        x = 0
+        for c in t:
+            x = (x * int(syncmers.BASE) + ord(c)) % 2**64
+        x = ((x ^ (x >> 32)) * int(syncmers.MIX)) % 2**64
+        return x ^ (x >> 29)
+
+    out = {}
+    for i in range(len(text) - k + 1):
+        inner = [h(text[i + j : i + j + s]) for j in range(k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.setdefault(h(text[i : i + k]) >> 32, i)
+    return sorted(out.items())[: syncmers.ANCHORS]
+
+
+@pytest.mark.parametrize("text", ["the quick brown fox jumps over the lazy dog, and then again", "é日\U0001f600 " * 12, "a" * 50, "abcdefghijklmnop"])
+def test_anchors(text):
+    assert syncmers.sketch(text) == brute_anchors(text)
+    assert syncmers.parsed(syncmers.spelled(syncmers.sketch(text))) == syncmers.sketch(text)
+
+
+def test_stretches_do_not_matter(monkeypatch):
+    text = "".join(random.Random(2).choices("abcdefgh ", k=3000))
+    whole = syncmers.sketch(text)
+    monkeypatch.setattr(syncmers, "STRETCH", 100)
+    assert syncmers.sketch(text) == whole
+
+
+def test_likeness():
+    rng = random.Random(4)
+    a, b = ("".join(rng.choices("abcdefghij ", k=4000)) for _ in range(2))
+    sketches = [syncmers.sketch(t) for t in (a, a[:2000] + b[:2000], b)]
+    assert syncmers.likeness(sketches[0], sketches[0]) == 1.0
+    assert 0.3 < syncmers.likeness(sketches[0], sketches[1]) < 0.7
+    assert syncmers.likeness(sketches[0], sketches[2]) < 0.05
+    assert syncmers.likeness([], []) == 1.0 and syncmers.likeness([], sketches[0]) == 0.0
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 16])
+def test_next_rows(spark, docs, corpus, partitions):
+    for some in (docs, corpus.select("doc_id", "text")):
+        held = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        try:
+            rows = syncmers.fingerprints(some).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", held)
+        order = sorted(((d.doc_id, d.text or "") for d in some.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
+        want = []
+        for n, (i, t) in enumerate(order):
+            after, half = order[(n + 1) % len(order)][1], len(t) // 2
+            edited = t[: len(t) - half] + after[:half]
+            own, changed, following = map(syncmers.sketch, (t, edited, after))
+            want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), syncmers.spelled(own), syncmers.spelled(changed), syncmers.likeness(own, changed), syncmers.likeness(own, following)))
+        assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, want))
+
+
+def test_no_rows(spark, docs):
+    assert syncmers.fingerprints(docs.limit(0)).count() == 0
