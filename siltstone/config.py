@@ -51,7 +51,7 @@ class Config:
     port: int = 4318
     max_dynamic_columns: int = 256
     max_depth: int = 4
-    max_rows: int = 100_000
+    max_bytes: int = 64 << 20
     poll_ms: int = 1000
     #: Nanoseconds that rows are kept, by receive time; None keeps them.
     retention: int | None = DEFAULT_RETENTION_MS * MS
@@ -73,7 +73,7 @@ def nanos(ms: int, what: str) -> int:
     return ms * MS
 
 
-SECTIONS = {"storage": {"max_rows", "max_dynamic_columns", "max_depth", "poll_interval_ms"}, "query": {"timeout_ms", "max_rows", "max_concurrent_queries"}, "retention": {"default_ms", "janitor_interval_ms", "tenants"}, "ingest": {"max_future_skew_ms"}, "readiness": {"min_free_bytes"}}
+SECTIONS = {"storage": {"max_bytes", "max_dynamic_columns", "max_depth", "poll_interval_ms"}, "query": {"timeout_ms", "max_rows", "max_concurrent_queries"}, "retention": {"default_ms", "janitor_interval_ms", "tenants"}, "ingest": {"max_future_skew_ms"}, "readiness": {"min_free_bytes"}}
 TOP = {"wal_directory", "data_directory", "listen", "tokens", *SECTIONS}
 
 
@@ -95,7 +95,7 @@ def load(text: str) -> Config:
     host, _, port = found.get("listen", "127.0.0.1:4318").rpartition(":")
     out = Config(found["wal_directory"], found["data_directory"], tokens, host, int(port))
     for section, key, attribute in (
-        (storage, "max_rows", "max_rows"), (storage, "poll_interval_ms", "poll_ms"), (query, "timeout_ms", "timeout_ms"), (query, "max_rows", "row_cap"),
+        (storage, "max_bytes", "max_bytes"), (storage, "poll_interval_ms", "poll_ms"), (query, "timeout_ms", "timeout_ms"), (query, "max_rows", "row_cap"),
         (query, "max_concurrent_queries", "concurrent"), (retention, "janitor_interval_ms", "janitor_ms"),
     ):
         if key in section:

@@ -19,14 +19,18 @@ from ..sources.datasource import FrameSource
 from ..sources.store import Store
 
 
+#: Frames are published in generations of about so many bytes, so that columns are admitted and files written for a bounded run of frames.
+GENERATION_BYTES = 64 << 20
+
+
 class Behind(RuntimeError):
     """The store lacks rows whose frames the checkpoint has given up."""
 
 
 class Ingest:
-    def __init__(self, spark: SparkSession, directory: str, store: Store, max_columns: int = project.MAX_COLUMNS, max_depth: int = project.MAX_DEPTH, max_rows: int = 100_000):
+    def __init__(self, spark: SparkSession, directory: str, store: Store, max_columns: int = project.MAX_COLUMNS, max_depth: int = project.MAX_DEPTH, max_bytes: int = GENERATION_BYTES):
         self.spark, self.directory, self.store = spark, directory, store
-        self.max_columns, self.max_depth, self.max_rows = max_columns, max_depth, max_rows
+        self.max_columns, self.max_depth, self.max_bytes = max_columns, max_depth, max_bytes
         self.checkpoint = frames.Checkpoint(directory)
         spark.dataSource.register(FrameSource)
         if self.checkpoint.load() > store.next:
@@ -47,16 +51,16 @@ class Ingest:
             self.checkpoint.commit(self.store.next)
             frames.retain(self.directory, self.store.next)
 
-    def read(self) -> DataFrame:
-        """All frames that are not published yet, as a batch."""
-        return self.spark.read.format("siltstone_frames").option("path", self.directory).option("start", self.store.next).load()
+    def read(self, end: int | None = None) -> DataFrame:
+        """The frames that are not published yet, up to `end`, as a batch."""
+        reader = self.spark.read.format("siltstone_frames").option("path", self.directory).option("start", self.store.next)
+        return (reader if end is None else reader.option("end", end)).load()
 
     def run_once(self) -> None:
-        """Publishes what there is, as one generation."""
-        if frames.next_sequence(self.directory) > self.store.next:
-            self.publish(self.read())
-        else:
-            self.done()
+        """Publishes what there is, generation by generation."""
+        while (end := frames.generation_end(self.directory, self.store.next, self.max_bytes)) > self.store.next:
+            self.publish(self.read(end))
+        self.done()
 
     def start(self, state: str, interval_ms: int | None = None) -> StreamingQuery:
         """A stream that publishes every interval, or what there is and then stops. state is the stream's own checkpoint folder."""

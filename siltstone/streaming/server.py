@@ -38,7 +38,7 @@ class Service:
         tenants = sorted(set(config.tokens.tenants.values()))
         self.stores = {t: Store(spark, f"{config.data}/{t}", t) for t in tenants}
         self.writers = {t: frames.Writer(Path(config.frames) / t, t) for t in tenants}
-        self.ingests = {t: Ingest(spark, str(Path(config.frames) / t), self.stores[t], config.max_dynamic_columns, config.max_depth, config.max_rows) for t in tenants}
+        self.ingests = {t: Ingest(spark, str(Path(config.frames) / t), self.stores[t], config.max_dynamic_columns, config.max_depth, config.max_bytes) for t in tenants}
         self.engine = Engine(spark, Limits(config.timeout_ms / 1000, config.row_cap, config.concurrent))
         self.janitor = Janitor(config, self.stores)
         self.failed = False

@@ -184,6 +184,16 @@ def test_ingest(spark, store, tmp_path):
         Ingest(spark, str(tmp_path / "wal"), Store(spark, f"file://{tmp_path}/empty", "tenant-a"))
 
 
+def test_generations(spark, store, tmp_path):
+    w = frames.Writer(tmp_path / "wal", "tenant-a", segment_bytes=400)
+    for i in range(5):
+        w.append(NEXT, request(Record(START + i, body="x" * 100)))
+    size = len(frames.packed(frames.Frame(0, NEXT, "tenant-a", request(Record(START, body="x" * 100))))) - frames.HEAD.size
+    assert [frames.generation_end(tmp_path / "wal", i, 2 * size) for i in (0, 3, 5)] == [3, 5, 5]  # the frame that crosses is in
+    Ingest(spark, str(tmp_path / "wal"), store, max_bytes=2 * size).run_once()
+    assert [(c["first"], c["next"], c["rows"]) for c in store.commits] == [(0, 3, 3), (3, 5, 2)]
+
+
 # Pruning ------------------------------------------------------------------
 
 COLUMN = {"nulls": 0, "rows": 2, "min": 5, "max": 9}
