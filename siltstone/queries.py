@@ -338,6 +338,32 @@ sql_query(
     "SELECT h, count(wal_sequence) AS n FROM (SELECT unnest(range(24)) AS h) LEFT JOIN logs ON (event_time_unix_nano // 3600000000000) % 24 = h GROUP BY h",
 )
 
+sql_query("cross_join_values", "SELECT l.wal_sequence, v.n FROM {logs} AS l CROSS JOIN (VALUES (1), (2)) AS v(n) WHERE l.log_k_i64 < 10")
+sql_query("merge_join_hint", "SELECT /*+ MERGE(b) */ a.wal_sequence, b.log_user_id_i64 AS u FROM {logs} AS a JOIN {logs} AS b ON a.wal_sequence = b.wal_sequence")
+sql_query("values_only", "SELECT * FROM (VALUES (1, 'a'), (2, 'b')) AS v(n, name)")
+sql_query("range_table", "SELECT id * 2 AS twice FROM range(10)", "SELECT range * 2 AS twice FROM range(10)")
+sql_query("correlated_scalar", "SELECT DISTINCT a.body, (SELECT max(b.log_k_i64) FROM {logs} AS b WHERE b.body = a.body) AS high FROM {logs} AS a")
+sql_query("qualify_by_subquery", "SELECT body, wal_sequence FROM (SELECT body, wal_sequence, row_number() OVER (PARTITION BY body ORDER BY log_value_f64 DESC, wal_sequence) AS rn FROM {logs}) AS t WHERE rn <= 3")
+sql_query("intersect_all", "SELECT body FROM {logs} WHERE log_k_i64 = 1 INTERSECT ALL SELECT body FROM {logs} WHERE log_k_i64 = 2")
+sql_query("except_all", "SELECT body FROM {logs} WHERE log_k_i64 = 1 EXCEPT ALL SELECT body FROM {logs} WHERE log_k_i64 = 2")
+
+
+@query("broadcast_join_checked", "SELECT l.wal_sequence, u.n FROM logs AS l JOIN (SELECT log_user_id_i64, count(*) AS n FROM logs GROUP BY log_user_id_i64 HAVING count(*) > 70) AS u ON l.log_user_id_i64 = u.log_user_id_i64")
+def broadcast_join_checked(logs):
+    """No hint: the planner broadcasts the small side if its measured size allows, and sorts and merges otherwise."""
+    users = logs.groupBy("log_user_id_i64").agg(F.count("*").alias("n")).filter("n > 70")
+    return logs.join(users, "log_user_id_i64").select("wal_sequence", "n")
+
+
+@query("interval_join", f"SELECT a.wal_sequence, count(b.wal_sequence) AS n FROM logs AS a JOIN logs AS b ON b.body = a.body AND b.event_time_unix_nano > a.event_time_unix_nano - {HOUR} AND b.event_time_unix_nano <= a.event_time_unix_nano WHERE a.log_k_i64 < 5 GROUP BY a.wal_sequence")
+def interval_join(logs):
+    """A join on nearby times: each left row meets the right rows of its hour and the hour before, by an equality the planner can shuffle on."""
+    time = F.col("event_time_unix_nano")
+    left = logs.filter("log_k_i64 < 5").select("wal_sequence", "body", time.alias("t"), F.explode(F.array(event_hour(time), event_hour(time) - HOUR)).alias("h"))
+    right = logs.select(F.col("body"), time.alias("s"), event_hour(time).alias("h"))
+    return left.join(right, ["body", "h"]).filter((F.col("s") > F.col("t") - HOUR) & (F.col("s") <= F.col("t"))).groupBy("wal_sequence").agg(F.count("*").alias("n"))
+
+
 # Scalar functions -------------------------------------------------------------------
 
 sql_query(
@@ -357,6 +383,45 @@ sql_query(
     "SELECT wal_sequence, CAST(date_trunc('day', make_timestamp(event_time_unix_nano // 1000)) AS TIMESTAMP) AS day, CAST(extract(hour FROM make_timestamp(event_time_unix_nano // 1000)) AS BIGINT) AS h FROM logs",
 )
 
+sql_query("array_functions", "SELECT body, size(collect_set(log_k_i64)) AS kinds, array_max(collect_list(log_k_i64)) AS high, array_contains(collect_set(log_k_i64), 5) AS has_five FROM {logs} GROUP BY body", "SELECT body, CAST(len(list(DISTINCT log_k_i64)) AS INTEGER) AS kinds, list_max(list(log_k_i64)) AS high, list_contains(list(log_k_i64), 5) AS has_five FROM logs GROUP BY body")
+sql_query("explode_words", "SELECT w, count(*) AS n FROM (SELECT explode(split(concat(body, ' ', body), ' ')) AS w FROM {logs}) AS t GROUP BY w", "SELECT w, count(*) AS n FROM (SELECT unnest(string_split(concat(body, ' ', body), ' ')) AS w FROM logs) AS t GROUP BY w")
+
+# The other tables ---------------------------------------------------------------------------
+
+
+def table_query(name: str, text: str, oracle: str | None = None) -> None:
+    """Registers Spark SQL over {table} names, and the same text, or `oracle`, for DuckDB."""
+    tables = sorted({w for w in "region nation customer supplier part orders lineitem events".split() if "{" + w + "}" in text})
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+
+    QUERIES[name] = run
+    plain = oracle or text
+    for t in tables:
+        plain = plain.replace("{" + t + "}", t)
+    ORACLES[name] = plain
+
+
+table_query(
+    "pricing_summary",
+    "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_quantity), 4) AS avg_qty, count(*) AS n "
+    "FROM {lineitem} WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus",
+)
+table_query("forecast_revenue", "SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM {lineitem} WHERE l_shipdate >= TIMESTAMP '1994-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1995-01-01 00:00:00' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
+table_query(
+    "revenue_by_nation",
+    "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey "
+    "WHERE o_orderdate >= TIMESTAMP '1994-01-01 00:00:00' GROUP BY n_name",
+)
+table_query(
+    "top_unshipped_orders",
+    "SELECT o_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey WHERE o_orderdate < TIMESTAMP '1995-03-15 00:00:00' GROUP BY o_orderkey ORDER BY revenue DESC, o_orderkey LIMIT 10",
+)
+table_query("part_supplier_counts", "SELECT p_brand, count(DISTINCT l_suppkey) AS suppliers FROM {part} JOIN {lineitem} ON l_partkey = p_partkey WHERE p_size < 20 GROUP BY p_brand")
+table_query("json_fields", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM {events}", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM {events}")
+table_query("customers_without_orders", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)")
+
 # Storage ------------------------------------------------------------------------------
 
 QUERIES |= {name: (lambda spark, sf_dir, f=f: f(spark, logs_view(spark, sf_dir))) for name, f in storage_queries.QUERIES.items()}
