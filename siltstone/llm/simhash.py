@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import checkpointed, map_texts
+from .common import checkpointed, free_name, map_rows, map_texts
 
 RADIUS = 3
 SHINGLE_WORDS = 3
@@ -184,6 +185,20 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
+def assigned(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
+    """doc_id, fp, root (the smallest fingerprint of the component) and component_id."""
+    own = checkpointed(fingerprints(docs, id_col, text_col))
+    distinct = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = checkpointed(components(forest(distinct.select("fp"), radius)))
+    rooted = roots.join(distinct, roots.node == distinct.fp).select("root", "fp", "least")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked_to = rooted.join(named, "root").select("fp", "root", "component_id")
+    # a fingerprint without links is its own component
+    alone = F.col("root").isNull()
+    by_fp = distinct.join(linked_to, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(alone, F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return own.join(by_fp, "fp").select("doc_id", "fp", "root", "component_id")
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that links reach, one row for each row of docs.
 
@@ -191,28 +206,34 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     their component. A component without any non-null doc_id has a null component_id. Other columns are not read;
     an empty table gives an empty one.
     """
-    own = checkpointed(fingerprints(docs, id_col, text_col))
-    distinct = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = checkpointed(components(forest(distinct.select("fp"), radius)))
-    # a fingerprint without links is its own component and needs no join
-    rooted = roots.join(distinct, roots.node == distinct.fp).select("root", "fp", "least")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked_to = rooted.join(named, "root").select("fp", "component_id")
-    by_fp = distinct.join(linked_to, "fp", "left").select("fp", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return assigned(docs, id_col, text_col, radius).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of docs with the smallest id of their group, with docs' columns; of rows that repeat that id one stays. Rows with a null id stay only if their whole group has none, one for each group."""
-    found = groups(docs, id_col, text_col, radius)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    """The rows of docs with the smallest id of their group, with docs' columns.
+
+    Of rows that repeat that id the one with the smallest text stays. A group that has no ids keeps one row, of its
+    smallest fingerprint; rows without an id leave groups that have ids.
+    """
+    found = checkpointed(assigned(docs, id_col, text_col, radius))
+    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     # ids are narrow: a hash table of one partition's ids beside a stream of texts, no sort of texts
-    rows = docs.join(kept.hint("shuffle_hash"), docs[id_col].eqNullSafe(kept["doc_id"]), "left_semi")
-    order = Window.partitionBy(id_col).orderBy(text_col)
-    repeated = checkpointed(docs.groupBy(id_col).agg(F.count("*").alias("n")).filter(f"n > 1 or {id_col} is null").select(F.col(id_col).alias("doc_id")))
-    if repeated.isEmpty():
-        return rows
-    several = rows[id_col].eqNullSafe(repeated["doc_id"])
-    place = [x for x in (f"_place{i}" for i in range(len(docs.columns) + 1)) if x not in docs.columns][0]
-    one = rows.join(repeated, several, "left_semi").withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).drop(place)
-    return rows.join(repeated, several, "left_anti").union(one)
+    rows = docs.join(kept.hint("shuffle_hash"), docs[id_col] == kept["doc_id"], "left_semi")
+    place = free_name("_place", docs.columns)
+
+    def first(some: DataFrame, key: str) -> DataFrame:
+        order = F.row_number().over(Window.partitionBy(key).orderBy(F.asc_nulls_first(text_col)))
+        return some.withColumn(place, order).filter(F.col(place) == 1).select(*docs.columns)
+
+    repeated = checkpointed(docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    if not repeated.isEmpty():
+        several = rows[id_col] == repeated["doc_id"]
+        rows = rows.join(repeated, several, "left_anti").union(first(rows.join(repeated, several, "left_semi"), id_col))
+    nameless = docs.filter(F.col(id_col).isNull())
+    if not nameless.select(id_col).isEmpty():
+        mark = free_name("_fp", docs.columns)
+        schema = StructType([*docs.schema.fields, StructField(mark, LongType())])
+        marked = map_rows(nameless, text_col, lambda texts: {mark: pa.array(np.array([fingerprint(t or "") for t in texts], dtype=np.uint64).astype(np.int64))}, schema)
+        roots = found.filter(F.col("component_id").isNull() & (F.col("fp") == F.col("root"))).select(F.col("fp").alias("root")).distinct()
+        rows = rows.union(first(marked.join(roots, marked[mark] == roots["root"], "left_semi"), mark))
+    return rows

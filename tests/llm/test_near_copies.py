@@ -97,8 +97,11 @@ def test_groups(spark, docs, corpus):
 def test_keep_one(spark, docs, corpus):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == [1, 3, 5, 6, 7, 8, 10] and ids.count(None) == 1
+    rows = kept.collect()
+    assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [1, 3, 5, 6, 7, 8, 10]
+    assert [r.text for r in rows if r.doc_id is None] == ["nobody has this text at all"]  # the other one without an id is empty, as row 3
+    twice = docs.filter("doc_id is null and text is not null")
+    assert simhash.keep_one(twice.union(twice)).count() == 1
     label = {r.component_id for r in simhash.groups(corpus).collect()}
     assert sorted(r.doc_id for r in simhash.keep_one(corpus).collect()) == sorted(label)
 
