@@ -147,6 +147,12 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
     return members.select("doc_id", "source", F.col("n").alias("n_tokens"), *(F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(model.domains)), likeliest.alias("domain"), rate(F.col("p"), history).alias("rate"))
 
 
+def by_source(mixed: DataFrame) -> DataFrame:
+    """source, its tokens, the tokens that mix()'s rates give it, and the quotient (null for a source without tokens). Partial sums come before the shuffle, so a source with most rows is no task of its own."""
+    sums = mixed.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_tokens") * F.col("rate")).alias("mixed_tokens"))
+    return sums.withColumn("rate", F.when(F.col("n_tokens") > 0, F.col("mixed_tokens") / F.col("n_tokens")))
+
+
 def drawn(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", seed: int = 42) -> DataFrame:
     """The rows of docs, each as often as its rate says: the whole part, and once more with the chance of the rest, drawn by a hash of the id.
 

@@ -164,6 +164,9 @@ def test_mix_meets_targets(spark, docs, corpus, labels):
         got = sum(r.n_tokens * r.rate * r[f"p_{domain}"] for r in rows) / tokens
         assert got == pytest.approx(want, abs=1e-5)
     assert all(sum(r[f"p_{d}"] for d in TARGETS) == pytest.approx(1) for r in rows)
+    sources = {r.source: r for r in mixing.by_source(out).collect()}
+    assert sum(r.mixed_tokens for r in sources.values()) == pytest.approx(tokens, rel=1e-4)
+    assert all(r.rate == pytest.approx(r.mixed_tokens / r.n_tokens) for r in sources.values())
     langs = {r.doc_id: r.lang for r in corpus.collect()}
     assert np.mean([r.domain == langs[r.doc_id] for r in rows if r.n_tokens > 20]) > 0.9
 
