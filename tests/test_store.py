@@ -149,6 +149,28 @@ def test_recovery(spark, store):
         opened(sealed({"a": 1}).replace('"a": 1', '"a": 2'))
 
 
+@pytest.mark.parametrize("step", ["move", "write", "statistics"])
+def test_a_failed_publication_shows_nothing_and_can_be_repeated(spark, store, monkeypatch, step):
+    rows = rows_of(spark, request(Record(START, body="a"), Record(NEXT, body="b")))
+    owner = store if step == "statistics" else store.files
+    good, calls = getattr(owner, step), []
+
+    def fail(*args):
+        calls.append(args)
+        if step != "move" or len(calls) == 2:
+            raise OSError("disk")
+        return good(*args)
+
+    monkeypatch.setattr(owner, step, fail)
+    with pytest.raises(OSError):
+        store.publish(rows, 0, 1)
+    monkeypatch.setattr(owner, step, good)
+    assert store.pin().frame().count() == 0 and store.next == 0
+    store.publish(rows, 0, 1)
+    again = Store(spark, store.files.root, "tenant-a")
+    assert again.pin().frame().count() == 2 and not again.files.exists("temp")
+
+
 def test_retention(spark, store):
     for i, received in enumerate((START, NEXT)):
         store.publish(rows_of(spark, request(Record(10**18, body=str(i)))).withColumns({"wal_sequence": F.lit(i).cast("bigint"), "received_time_unix_nano": F.lit(received)}), i, i + 1)
