@@ -203,7 +203,7 @@ def spoken_marks(source: Rewritten) -> Rewritten:
 
 def hidden_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of disguised identifiers that no base span of their kind covers."""
-    odd = not text.isascii() and odd_chars().search(text) is not None
+    odd = not text.isascii() and not look_alikes().keys().isdisjoint(set(text))  # a search for so many characters is far slower
     low = text.lower()
     if len(low) != len(text):  # a few letters grow in lower case; offsets must stand
         low = "".join(x if len(x) == 1 else c for c in text for x in (c.lower(),))
