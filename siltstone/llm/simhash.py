@@ -135,7 +135,8 @@ def unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 def forest(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Links (a, b) between distinct fingerprints that connect just what all links within the radius connect. fps: a column fp without repeats."""
     keyed = fps.select("fp", F.explode(block_keys(F.col("fp"), radius, blocks)).alias("k")).select("fp", "k.which", "k.bits")
-    met = keyed.groupBy("which", "bits").agg(F.count("*").alias("n")).filter("n > 1")
+    # written out, so that the join deals out both its sides itself and can split the rows of a hot key
+    met = checkpointed(keyed.groupBy("which", "bits").agg(F.count("*").alias("n")).filter("n > 1"))
     chunks = F.ceil(F.col("n") / F.lit(group_rows)).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
@@ -196,7 +197,8 @@ def assigned(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFr
     # a fingerprint without links is its own component
     alone = F.col("root").isNull()
     by_fp = distinct.join(linked_to, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(alone, F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    return own.join(by_fp, "fp").select("doc_id", "fp", "root", "component_id")
+    # written out, so that the join deals out both its sides itself and can split the rows of a hot fingerprint
+    return own.join(checkpointed(by_fp), "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
