@@ -27,7 +27,7 @@ from .unigram import SCALE, Unigram
 
 SCHEMA = "doc_id bigint, sample int, ids array<int>, n_pieces int, log_prob double, score double, log_inclusion double"
 #: Segments whose lattices a worker keeps; all go when there are more.
-STORE_SEGMENTS = 250_000
+STORE_SEGMENTS = 200_000
 MULTIPLIER = 0x9E3779B97F4A7C15
 _lattices: dict[tuple, Lattices] = {}
 
@@ -83,6 +83,25 @@ class Trie:
         return out
 
 
+class Column:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.room, self.n = np.empty(1024, dtype=kind), 0
+
+    def append(self, values: np.ndarray) -> None:
+        end = self.n + len(values)
+        if end > len(self.room):
+            room = np.empty(max(end, 2 * len(self.room)), dtype=self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : end] = values
+        self.n = end
+
+    def values(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
 class Lattices:
     """The lattices of distinct segments: nodes are character boundaries, edges into a node are adjacent."""
 
@@ -96,11 +115,15 @@ class Lattices:
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.unknown: list[str] = []
-        self.base = self.size = np.zeros(0, dtype=np.int64)
-        self.first = np.zeros(1, dtype=np.int64)
-        self.reach = self.p = self.log = np.zeros(0)
-        self.length = np.zeros(0, dtype=np.int64)
-        self.piece = np.zeros(0, dtype=np.int64)
+        self.columns = {name: Column(kind) for name, kind in self.KINDS.items()}
+        self.columns["first"].append(np.zeros(1, dtype=np.int64))
+        self.view()
+
+    #: Of segments: first node and size; of nodes: first edge; of edges: running and own probability, piece (below 0: an unknown character) and length.
+    KINDS = {"base": np.int64, "size": np.int64, "first": np.int64, "reach": np.float64, "p": np.float64, "piece": np.int32, "length": np.int16}
+
+    def view(self) -> None:
+        self.base, self.size, self.first, self.reach, self.p, self.piece, self.length = (self.columns[name].values() for name in self.KINDS)
 
     def look_up(self, segments: list[str]) -> np.ndarray:
         """Numbers of segments, adding lattices of new ones."""
@@ -144,7 +167,7 @@ class Lattices:
         degree[lone + word[lone] + 1] += 1
         first = np.concatenate(([0], np.cumsum(degree)))
         total = int(first[-1])
-        piece, length, log_w = np.empty(total, dtype=np.int64), np.empty(total, dtype=np.int64), np.empty(total)
+        piece, length, log_w = np.empty(total, dtype=np.int32), np.empty(total, dtype=np.int16), np.empty(total)
         fill = first[:-1].copy()
         for a, ids, n in reversed(found):  # the longest, mostly the likeliest, first
             slot_of = a + word[a] + n
@@ -189,15 +212,10 @@ class Lattices:
         p[first[:-1][single]] = 1.0
         has = degree > 0
         part[first[1:][has] - 1] = 2.0  # beyond any draw
-        self.base = np.concatenate((self.base, base + len(self.first) - 1))
-        self.size = np.concatenate((self.size, size))
-        self.first = np.concatenate((self.first, first[1:] + self.first[-1]))
-        self.reach = np.concatenate((self.reach, part))
-        self.p = np.concatenate((self.p, p))
-        with np.errstate(divide="ignore"):
-            self.log = np.concatenate((self.log, np.log(p)))
-        self.piece = np.concatenate((self.piece, piece))
-        self.length = np.concatenate((self.length, length))
+        node, edge = len(self.first) - 1, self.first[-1]
+        for name, values in {"base": base + node, "size": size, "first": first[1:] + edge, "reach": part, "p": p, "piece": piece, "length": length}.items():
+            self.columns[name].append(values)
+        self.view()
 
     def draw(self, words: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Samples a path through each word from its end to its start: all edges word by word, and how many each has."""
@@ -242,7 +260,8 @@ class Path:
 
     def __init__(self, store: Lattices, edges, counts, time: float, key: np.ndarray, branch: int):
         self.edges, self.counts, self.time = edges, counts, time
-        log = store.log[edges]
+        with np.errstate(divide="ignore"):
+            log = np.log(store.p[edges])
         self.log_prob = float(log.sum())
         # beyond a prefix of probability 0 in double precision no subtree ever arrives
         n = 512
