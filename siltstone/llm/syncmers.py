@@ -121,7 +121,7 @@ def in_order(docs: DataFrame, id_col: str, text_col: str, partitions: int | None
     for before, p in zip([order[-1], *order[:-1]] if order else [], order, strict=True):
         copy = F.when((F.col("part") == p) & F.col("i").eqNullSafe(F.lit(firsts[p]).cast("bigint")), F.struct(F.lit(before).alias("part"), F.lit(1).alias("guard"))).otherwise(copy)
     dealt = rows.withColumn("part", part).withColumn("to", F.explode(F.filter(F.array(here, copy), lambda x: x.isNotNull())))
-    own = F.element_at(F.array(*map(F.lit, own_keys(spark, n))), F.col("part") + 1)
+    own = F.element_at(F.array(*map(F.lit, own_keys(spark, n))).cast("array<bigint>"), F.col("part") + 1)
     return dealt.select("to.part", "to.guard", "i", "t").repartition(n, own).sortWithinPartitions("part", "guard", "i", "t")
 
 
