@@ -2,10 +2,9 @@
 
 A k-mer of characters is a closed syncmer if the smallest hash among its inner
 s-mers stands at its first or last place. That depends on nothing outside the
-k-mer, so an edit moves only the anchors it touches. A fingerprint keeps the
-ANCHORS anchors of smallest hash with their positions (all of them in short
-texts), and two fingerprints are alike by the anchors of their joint sketch that
-both have and that keep their order of position.
+k-mer, so an edit moves only the anchors it touches. A fingerprint keeps every
+anchor, each at its first position, however long the text is, and two fingerprints
+are alike by the anchors that both have and that keep their order of position.
 """
 
 from __future__ import annotations
@@ -21,12 +20,15 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, sliced
 
-K, S, ANCHORS = 16, 6, 64
+K, S = 16, 6
+#: No bound on the anchors of a sketch: it grows with its text.
+ANCHORS = None
 #: Odd multiplier of the rolling polynomial and a public 64-bit mixing constant.
 BASE, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 #: Characters of one stretch of a long text that are hashed at once; stretches overlap by K - 1.
 STRETCH = 1_000_000
+HEX = np.frombuffer(b"0123456789abcdef", dtype=np.uint8)
 
 
 def scrambled(x: np.ndarray) -> np.ndarray:
@@ -71,37 +73,85 @@ def hash_of(text: str) -> int:
     return int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "little")
 
 
-def sketch(text: str, anchors: int = ANCHORS) -> list[tuple[int, int]]:
-    """The `anchors` distinct anchors of smallest hash, each at its first position, by hash."""
+def sketched(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct anchors, sorted by hash, and the first position of each."""
     hashes, places = anchors_of(text)
     found, first = np.unique(hashes, return_index=True)
-    return list(zip(found[:anchors].tolist(), places[first[:anchors]].tolist(), strict=True))
+    return found, places[first]
+
+
+def sketch(text: str) -> list[tuple[int, int]]:
+    """All distinct anchors, each at its first position, by hash."""
+    return listed(sketched(text))
+
+
+def listed(found: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
+    return list(zip(found[0].tolist(), found[1].tolist(), strict=True))
+
+
+def arrays(found: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([h for h, _ in found], dtype=np.uint64), np.array([p for _, p in found], dtype=np.int64)
 
 
 def spelled(found: list[tuple[int, int]]) -> str:
     """hash:position for each anchor, in hexadecimal, by position."""
-    return ",".join(f"{h:08x}:{p:x}" for p, h in sorted((p, h) for h, p in found))
+    return written(arrays(found))
+
+
+def written(found: tuple[np.ndarray, np.ndarray]) -> str:
+    """What spelled() gives, from arrays: rows of fixed width whose leading zeros of the position are left out."""
+    if not len(found[0]):
+        return ""
+    order = np.argsort(found[1])
+    hashes, places = found[0][order], found[1][order]
+    width = max(1, (int(places[-1]).bit_length() + 3) // 4)
+    rows = np.empty((len(order), 8 + 1 + width + 1), dtype=np.uint8)
+    for i in range(8):
+        rows[:, i] = HEX[(hashes >> np.uint64(28 - 4 * i)).astype(np.uint8) & 15]
+    rows[:, 8] = ord(":")
+    kept = np.ones(rows.shape, dtype=bool)
+    for i in range(width):
+        shift = 4 * (width - 1 - i)
+        rows[:, 9 + i] = HEX[(places >> shift) & 15]
+        if shift:
+            kept[:, 9 + i] = places >> shift > 0
+    rows[:, -1] = ord(",")
+    kept[-1, -1] = False
+    return rows[kept].tobytes().decode("ascii")
 
 
 def parsed(fingerprint: str) -> list[tuple[int, int]]:
     return sorted((int(h, 16), int(p, 16)) for x in fingerprint.split(",") if x for h, _, p in (x.partition(":"),))
 
 
-def likeness(a: list[tuple[int, int]], b: list[tuple[int, int]], anchors: int = ANCHORS) -> float:
-    """How alike two sketches are, 0 to 1: Dice's measure from the joint sketch, counting shared anchors in the longest run that keeps its order. Two texts without anchors are alike."""
-    if a == b:
+def likeness(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> float:
+    """How alike two sketches are, 0 to 1: Dice's measure, counting shared anchors in the longest run that keeps its order. Two texts without anchors are alike."""
+    return alike(arrays(a), arrays(b))
+
+
+def alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """What likeness() gives, from arrays sorted by hash."""
+    if np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1]):
         return 1.0
-    x, y = dict(a), dict(b)
-    joint = sorted(x.keys() | y.keys())[:anchors]
-    shared = sorted((x[h], y[h]) for h in joint if h in x and h in y)
-    tails: list[int] = []
-    for _, p in shared:
-        i = bisect_left(tails, p)
-        tails[i : i + 1] = [p]
-    jaccard = len(tails) / len(joint)
+    shared, x, y = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    kept = in_rising_order(b[1][y][np.argsort(a[1][x])])
+    jaccard = kept / (len(a[0]) + len(b[0]) - len(shared))
     return 2 * jaccard / (1 + jaccard)
 
 
+def in_rising_order(places: np.ndarray) -> int:
+    """The length of the longest rising run, gaps allowed."""
+    if (np.diff(places) > 0).all():
+        return len(places)
+    tails: list[int] = []
+    for p in places.tolist():
+        if not tails or p > tails[-1]:
+            tails.append(p)
+        else:
+            tails[bisect_left(tails, p)] = p
+    return len(tails)
+
+
 def in_order(docs: DataFrame, id_col: str, text_col: str, partitions: int | None = None) -> DataFrame:
     """The rows (i, t) in partitions of id ranges, sorted, each range followed by a copy of the row behind it: columns part, guard, i, t.
 
@@ -160,11 +210,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 for part, guard, i, t in zip(*(small.column(c).to_pylist() for c in ("part", "guard", "i", "t")), strict=True):
                     own = None
                     if held is not None and held[0] == part:
-                        own = sketch(t)
+                        own = sketched(t)
                         out.append(finished(held, t, own))
                         held = None
                     if not guard:
-                        held = (part, i, t, sketch(t) if own is None else own)
+                        held = (part, i, t, sketched(t) if own is None else own)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
                     out = []
@@ -173,7 +223,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         _, i, t, own = held
         half = len(t) // 2
         edited = t[: len(t) - half] + after[:half]
-        changed = sketch(edited) if edited != t else own
-        return i, len(t), hashlib.sha256(edited.encode()).hexdigest(), spelled(own), spelled(changed), likeness(own, changed), likeness(own, after_sketch)
+        changed = sketched(edited) if edited != t else own
+        return i, len(t), hashlib.sha256(edited.encode()).hexdigest(), written(own), written(changed), alike(own, changed), alike(own, after_sketch)
 
     return in_order(docs, id_col, text_col).mapInArrow(run, SCHEMA)

@@ -151,6 +151,18 @@ def test_likeness():
     assert syncmers.likeness([], []) == 1.0 and syncmers.likeness([], sketches[0]) == 0.0
 
 
+def test_long_texts_keep_every_anchor():
+    """A passage that two long texts share and a small edit both show, wherever they stand."""
+    rng = random.Random(6)
+    a, b, passage = ("".join(rng.choices("abcdefghij ", k=n)) for n in (20_000, 20_000, 300))
+    brute = brute_anchors(a)
+    assert len(brute) > 3000 and syncmers.sketch(a) == brute
+    assert syncmers.spelled(brute) == ",".join(f"{h:08x}:{p:x}" for p, h in sorted((p, h) for h, p in brute))
+    for at in range(0, 20_000, 2000):
+        assert syncmers.likeness(syncmers.sketch(a[:at] + passage + a[at:]), syncmers.sketch(b + passage)) > 0
+        assert syncmers.likeness(brute, syncmers.sketch(a[:at] + passage[:100] + a[at + 100 :])) < 1
+
+
 @pytest.mark.parametrize("partitions", [1, 4, 16])
 def test_next_rows(spark, docs, corpus, partitions):
     for some in (docs, corpus.select("doc_id", "text")):
