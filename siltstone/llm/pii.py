@@ -4,8 +4,8 @@ Base identifiers are found in the text as it stands. Then transducers rewrite
 disguised stretches (look-alike letters, spelled digits, "at" and "dot") into
 plain ones while they keep, for each character they write, the source characters
 it came from; the same detectors run over the rewritten stretches and their spans
-are mapped back. An automaton finds the stretches, so a text without disguises
-costs one pass. All offsets are code points, ends exclusive.
+are mapped back. A text without anything that they would rewrite costs one more
+search. All offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
+from array import array
 from functools import lru_cache
 
 import pyarrow as pa
@@ -113,31 +113,15 @@ NUMBERS = re.compile(rf"(?i)[0-9]+(?:{DOT}[0-9]+)+")
 DOT_TOKEN = re.compile(rf"(?i){DOT}")
 
 
-@lru_cache(maxsize=1)
-def triggers():
-    """Finds what every disguised address or number contains: two spelled digits in a row, a bracketed at, or a dot word."""
-    import ahocorasick
-
-    out = ahocorasick.Automaton()
-    words = list(DIGIT_WORDS)
-    for a in words:
-        for b in words:
-            for gap in (" ", "-", ", ", ",", " - ", "\n"):
-                out.add_word(a + gap + b, "digits")
-    for o, c in ("[]", "()", "{}", "<>"):
-        for w in ("at", "dot", "."):
-            out.add_word(f"{o}{w}{c}", "address")
-            out.add_word(f"{o} {w} {c}", "address")
-    for word in (" dot ", " @", "@ "):
-        out.add_word(word, "address")
-    out.make_automaton()
-    return out
+#: What every stretch that the transducers change contains, look-alikes apart: a spelled digit, a bracketed at or dot, a dot word
+#: between blanks, or an @ beside one. It reads letters as they do, so that it misses nothing they would rewrite.
+TRIGGER = re.compile(rf"(?i)\b{DIGITS}\b|[\[({{<]\s*(?:at|dot|\.)\s*[\])}}>]|\sdot\s|\s@|@\s")
 
 
 class Rewritten:
     """A text written from a source, with where each of its characters begins and ends there."""
 
-    def __init__(self, text: str, starts: list[int], ends: list[int]):
+    def __init__(self, text: str, starts: array, ends: array):
         self.text, self.starts, self.ends = text, starts, ends
 
     def back(self, a: int, z: int) -> tuple[int, int]:
@@ -146,21 +130,21 @@ class Rewritten:
 
 def rewrite(source: Rewritten, pieces: list[tuple[int, int, str]]) -> Rewritten:
     """Puts replacements (start, end, text), in order and apart, into a rewritten text; each new character stands for the whole stretch."""
-    out, starts, ends, at = [], [], [], 0
+    out, starts, ends, at = [], array("q"), array("q"), 0
     for a, z, new in pieces:
         out += (source.text[at:a], new)
         starts += source.starts[at:a]
         ends += source.ends[at:a]
         if a < z:
-            starts += [source.starts[a]] * len(new)
-            ends += [source.ends[z - 1]] * len(new)
+            starts += source.starts[a : a + 1] * len(new)
+            ends += source.ends[z - 1 : z] * len(new)
         at = z
     out.append(source.text[at:])
     return Rewritten("".join(out), starts + source.starts[at:], ends + source.ends[at:])
 
 
-def plain(text: str, start: int = 0) -> Rewritten:
-    return Rewritten(text, list(range(start, start + len(text))), list(range(start + 1, start + len(text) + 1)))
+def plain(text: str) -> Rewritten:
+    return Rewritten(text, array("q", range(len(text))), array("q", range(1, len(text) + 1)))
 
 
 def without_look_alikes(source: Rewritten) -> Rewritten:
@@ -204,42 +188,18 @@ def spoken_marks(source: Rewritten) -> Rewritten:
 def hidden_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of disguised identifiers that no base span of their kind covers."""
     odd = not text.isascii() and not look_alikes().keys().isdisjoint(set(text))  # a search for so many characters is far slower
-    low = text.lower()
-    if len(low) != len(text):  # a few letters grow in lower case; offsets must stand
-        low = "".join(x if len(x) == 1 else c for c in text for x in (c.lower(),))
-    seen = {what for _, what in triggers().iter(low)}
-    if not odd and not seen:
+    if not odd and not TRIGGER.search(text):
         return []
     out = set()
-    for part in stretches(text, low, odd):
-        now = part
-        if odd:
-            now = without_look_alikes(now)
-        now = spoken_marks(spoken_digits(now))
-        for kind, a, z in plain_spans(now.text):
-            start, end = now.back(a, z)
-            if now.text[a:z] != text[start:end]:  # else the base rules have judged it
-                out.add((kind, start, end))
-    return [x for x in sorted(out) if not any(k == x[0] and a <= x[1] and x[2] <= z for k, a, z in base)]
-
-
-def stretches(text: str, low: str, odd: bool) -> list[Rewritten]:
-    """The lines around disguises; lines are cut no finer so that no identifier is. Two neighbours make one stretch."""
-    if "\n" not in text:
-        return [plain(text)]
-    marks = [end for end, what in triggers().iter(low)]
+    now = plain(text)
     if odd:
-        marks += [m.start() for m in odd_chars().finditer(text)]
-    breaks = [-1, *(m.start() for m in re.finditer("\n", text)), len(text)]
-    spans: list[list[int]] = []
-    for mark in sorted(marks):
-        i = bisect_right(breaks, mark) - 1
-        a, z = breaks[max(i - 1, 0)] + 1, breaks[min(i + 2, len(breaks) - 1)]
-        if spans and a <= spans[-1][1]:
-            spans[-1][1] = max(z, spans[-1][1])
-        else:
-            spans.append([a, z])
-    return [plain(text[a:z], a) for a, z in spans]
+        now = without_look_alikes(now)
+    now = spoken_marks(spoken_digits(now))
+    for kind, a, z in plain_spans(now.text):
+        start, end = now.back(a, z)
+        if now.text[a:z] != text[start:end]:  # else the base rules have judged it
+            out.add((kind, start, end))
+    return [x for x in sorted(out) if not any(k == x[0] and a <= x[1] and x[2] <= z for k, a, z in base)]
 
 
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -56,6 +56,28 @@ def test_clean_text_stays(text):
     assert pii.find(text) == ([], []) and pii.redact(text) == text
 
 
+@pytest.mark.parametrize(
+    ("kind", "hidden"),
+    [
+        ("phone", "+1 four 15 five 55 one 2 three 4"), ("phone", "plus one four  one five  five five five  one two\tthree four"), ("phone", "plus one.four.one.five.five.five.five.one.two.three.four"),
+        ("phone", "+1\nfour\n15\n555\n12\n34"), ("ip", "one.two.three.four"), ("ip", "192[. ]168[. ]1[. ]1"), ("email", "john[at ]example.com"), ("email", "john [at\t] example.com"), ("email", "john\t@\texample.com"),
+        ("email", "john\n@\nexample.com"), ("email", "john@example\tdot\tcom"), ("email", "ann\nat\n\n\nexample\ndot\ncom"),
+    ],
+)
+def test_disguises_need_no_other_in_the_text(kind, hidden):
+    for text in (hidden, f"so: {hidden}!\n", f"two lines\nsee: {hidden}; end\nthree one", f"a [at] b\n\n\n\nsee: {hidden}; end"):
+        at = text.index(hidden)
+        assert (pii.KINDS.index(kind), at, at + len(hidden)) in pii.find(text)[1], text
+
+
+@given(st.lists(st.sampled_from(["one", "four", "FIVE", "oh", "plus", "+", "1", "55", "dot", "at", "@", "[at]", "( dot )", "[.", "]", ".", ",", "-", " ", "\t", "\n", "ann", "com", "ſix", "fıve", "。"]), max_size=30))
+@settings(max_examples=500)
+def test_the_trigger_misses_nothing_that_is_rewritten(parts):
+    text = "".join(parts)
+    if pii.TRIGGER.search(text) is None:
+        assert pii.spoken_marks(pii.spoken_digits(pii.plain(text))).text == text
+
+
 def test_query(docs):
     rows = pii.find_all(docs).collect()
     assert len(rows) == docs.count()
