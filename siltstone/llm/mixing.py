@@ -82,26 +82,27 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     return Classifier(domains, [seen[d] / rows for d in domains], [[math.log(x / totals[d]) for x in table[d]] for d in domains])
 
 
-def rate(p: Column, history: list[list[float]]) -> Column:
-    """A document's rate after the steps so far: from 1 on, each takes off the posterior's part of that step's vector and stops at 0."""
+def rate(p: Column, history: list[list[float]], least: float = 0.0) -> Column:
+    """A document's rate after the steps so far: from 1 on, each takes off the posterior's part of that step's vector and stops at `least`."""
     r = F.lit(1.0)
     if not history:
         return r
     steps = F.array(*(F.array(*map(F.lit, g)) for g in history))
-    return F.aggregate(steps, r, lambda r, g: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)))
+    return F.aggregate(steps, r, lambda r, g: F.greatest(F.lit(least), r - F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)))
 
 
 def solve(members: DataFrame, domains: list[str], targets: dict[str, float], raise_only: bool = False) -> tuple[list[list[float]], list[float], list[float]]:
     """The history of steps, reached shares and wanted shares, from columns n (tokens) and p (posterior).
 
     Targets are weights, scaled to sum to 1 over the domains there are; a domain without target wants 0. Shares are of
-    the present tokens; with raise_only the wanted total is the smallest that lets no domain shrink. Domains that no
-    document belongs to stay out.
+    the present tokens; with raise_only no rate falls below 1, the wanted total is the smallest that lets no domain with a target shrink, and a
+    domain without one wants its present share. Domains that no document belongs to stay out.
     """
     k = len(domains)
+    least = 1.0 if raise_only else 0.0
 
     def sums(history: list[list[float]]) -> list[float]:
-        r = rate(F.col("p"), history)
+        r = rate(F.col("p"), history, least)
         found = members.agg(*(F.sum(F.col("n") * r * F.get("p", F.lit(i))).alias(f"e{i}") for i in range(k))).first()
         return [float(x or 0.0) for x in found]
 
@@ -116,7 +117,7 @@ def solve(members: DataFrame, domains: list[str], targets: dict[str, float], rai
     wanted = [x / sum(wanted) for x in wanted]
     if raise_only:
         grow = max(s / w for s, w in zip(share, wanted, strict=True) if w > 0)
-        wanted = [w * grow for w in wanted]
+        wanted = [w * grow if w > 0 else s for s, w in zip(share, wanted, strict=True)]
     history: list[list[float]] = []
     reached = share
     for _ in range(STEPS):
@@ -156,7 +157,7 @@ def by_source(mixed: DataFrame) -> DataFrame:
 def drawn(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", seed: int = 42) -> DataFrame:
     """The rows of docs, each as often as its rate says: the whole part, and once more with the chance of the rest, drawn by a hash of the id.
 
-    The wanted total is the smallest that lets no domain shrink, so rates are about 1 or more and mixing loses no document.
+    Rates are 1 or more, so mixing loses no document; a domain without a target keeps its present share.
     """
     model = fit(docs, labelled, id_col, text_col, domain_col)
     if not model.domains:
@@ -165,7 +166,6 @@ def drawn(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_co
     members = checkpointed(docs.select(words(F.col(text_col)).alias("w")).select(F.size("w").cast("bigint").alias("n"), model.posterior(F.col("w")).alias("p")))
     history, _, _ = solve(members, model.domains, targets, raise_only=True)
     chance = F.pmod(F.xxhash64(F.col("i"), F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    # a rate that misses 1 by no more than the fit's error counts as 1
-    copies = F.greatest(F.floor(rate(F.col("p"), history) + 1e-3 + chance * (1 - 1e-3)), F.lit(0)).cast("int")
+    copies = F.floor(rate(F.col("p"), history, 1.0) + chance).cast("int")
     repeated = F.explode(F.array_repeat(F.lit(True), copies))
     return docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("i"), p.alias("p")).select("row", repeated.alias("again")).select("row.*")

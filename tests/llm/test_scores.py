@@ -199,3 +199,17 @@ def test_drawn_keeps_every_document(docs, corpus, labels):
     assert mixing.mix(docs, labels, TARGETS).count() == docs.count()
     assert mixing.mix(docs, labels.limit(0), TARGETS).select("rate").distinct().collect()[0].rate == 1
     assert mixing.mix(docs.limit(0), labels, TARGETS).count() == 0 and mixing.drawn(docs.limit(0), labels, TARGETS).count() == 0
+
+
+def test_raising_lowers_no_rate(spark):
+    """Mixed documents that are raised for b add to a, and no target is set for c."""
+    rows = [(100, [1.0, 0.0, 0.0])] * 6 + [(100, [0.5, 0.5, 0.0])] * 2 + [(100, [0.0, 0.0, 1.0])] * 2
+    members = spark.createDataFrame(rows, "n bigint, p array<double>")
+    history, reached, wanted = mixing.solve(members, ["a", "b", "c"], {"a": 0.6, "b": 0.4}, raise_only=True)
+    rates = [r.r for r in members.select(mixing.rate(F.col("p"), history, 1.0).alias("r")).collect()]
+    assert min(rates) == 1 and rates[6] > 1.5 and rates[8:] == [1, 1] and wanted[2] == pytest.approx(0.2) == reached[2]
+
+
+def test_drawn_keeps_documents_of_domains_without_target(corpus, labels):
+    for targets in ({"en": 1.0}, {"en": 0.2, "fr": 0.8}):
+        assert {r.doc_id for r in mixing.drawn(corpus, labels, targets).collect()} == {r.doc_id for r in corpus.collect()}
