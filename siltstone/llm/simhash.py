@@ -60,11 +60,11 @@ def fingerprint(text: str, words_per_shingle: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * votes > count).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed bigint, one row for each row of docs."""
 
     def rows(ids, texts):
-        fps = np.fromiter(map(fingerprint, texts), dtype=np.uint64, count=len(texts))
+        fps = np.fromiter((fingerprint(t, shingle_words) for t in texts), dtype=np.uint64, count=len(texts))
         return {"doc_id": ids, "fp": fps.astype(np.int64).tolist()}
 
     return map_texts(docs, id_col, text_col, rows, "doc_id bigint, fp bigint")
@@ -186,11 +186,21 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
-def assigned(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
+def enough_blocks(radius: int, blocks: int | None) -> int:
+    """The blocks given, or BLOCKS, or two more than the radius where that is more: fewer than one more leave no whole block to meet under."""
+    if blocks is None:
+        return max(BLOCKS, radius + 2)
+    if not radius < blocks <= 64:
+        raise ValueError(f"{blocks} blocks are not complete for a radius of {radius}")
+    return blocks
+
+
+def assigned(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle_words: int = SHINGLE_WORDS, blocks: int | None = None) -> DataFrame:
     """doc_id, fp, root (the smallest fingerprint of the component) and component_id."""
-    own = checkpointed(fingerprints(docs, id_col, text_col))
+    blocks = enough_blocks(radius, blocks)
+    own = checkpointed(fingerprints(docs, id_col, text_col, shingle_words))
     distinct = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = checkpointed(components(forest(distinct.select("fp"), radius)))
+    roots = checkpointed(components(forest(distinct.select("fp"), radius, blocks)))
     rooted = roots.join(distinct, roots.node == distinct.fp).select("root", "fp", "least")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     linked_to = rooted.join(named, "root").select("fp", "root", "component_id")
@@ -201,23 +211,23 @@ def assigned(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFr
     return own.join(checkpointed(by_fp), "fp").select("doc_id", "fp", "root", "component_id")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS, blocks: int | None = None) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that links reach, one row for each row of docs.
 
     Null and empty texts have fingerprint 0 and link to whatever lies within the radius of it. Rows that repeat share
     their component. A component without any non-null doc_id has a null component_id. Other columns are not read;
     an empty table gives an empty one.
     """
-    return assigned(docs, id_col, text_col, radius).select("doc_id", "fp", "component_id")
+    return assigned(docs, id_col, text_col, radius, shingle_words, blocks).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS, blocks: int | None = None) -> DataFrame:
     """The rows of docs with the smallest id of their group, with docs' columns.
 
     Of rows that repeat that id the one with the smallest text stays. A group that has no ids keeps one row, of its
     smallest fingerprint; rows without an id leave groups that have ids.
     """
-    found = checkpointed(assigned(docs, id_col, text_col, radius))
+    found = checkpointed(assigned(docs, id_col, text_col, radius, shingle_words, blocks))
     kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     # ids are narrow: a hash table of one partition's ids beside a stream of texts, no sort of texts
     rows = docs.join(kept.hint("shuffle_hash"), docs[id_col] == kept["doc_id"], "left_semi")
@@ -235,7 +245,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     if not nameless.select(id_col).isEmpty():
         mark = free_name("_fp", docs.columns)
         schema = StructType([*docs.schema.fields, StructField(mark, LongType())])
-        marked = map_rows(nameless, text_col, lambda texts: {mark: pa.array(np.array([fingerprint(t or "") for t in texts], dtype=np.uint64).astype(np.int64))}, schema)
+        marked = map_rows(nameless, text_col, lambda texts: {mark: pa.array(np.array([fingerprint(t or "", shingle_words) for t in texts], dtype=np.uint64).astype(np.int64))}, schema)
         roots = found.filter(F.col("component_id").isNull() & (F.col("fp") == F.col("root"))).select(F.col("fp").alias("root")).distinct()
         rows = rows.union(first(marked.join(roots, marked[mark] == roots["root"], "left_semi"), mark))
     return rows

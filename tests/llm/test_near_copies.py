@@ -106,6 +106,19 @@ def test_keep_one(spark, docs, corpus):
     assert sorted(r.doc_id for r in simhash.keep_one(corpus).collect()) == sorted(label)
 
 
+@pytest.mark.parametrize(("radius", "blocks"), [(6, None), (6, 9), (5, None)])
+def test_wider_radius_and_longer_shingles(corpus, radius, blocks):
+    some = corpus.limit(120)
+    texts = {r.doc_id: r.text for r in some.collect()}
+    label = brute_components([(i, simhash.fingerprint(t, 5)) for i, t in texts.items()], radius)
+    rows = simhash.groups(some, radius=radius, shingle_words=5, blocks=blocks).collect()
+    assert {r.doc_id: r.component_id for r in rows} == label
+    kept = simhash.keep_one(some, radius=radius, shingle_words=5, blocks=blocks)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label.values()))
+    with pytest.raises(ValueError):
+        simhash.groups(some, radius=6, blocks=6)
+
+
 # Syncmers -----------------------------------------------------------------
 
 
