@@ -148,6 +148,16 @@ def test_pseudo_likelihood(spark, docs, corpus):
     assert net.log_probabilities(near, classes).mean() > np.log(share[classes]).mean()  # sees more than frequencies
 
 
+def test_every_word_has_its_own_share(corpus, monkeypatch):
+    """However few words the tasks are sent."""
+    some = corpus.coalesce(1)
+    whole = {r.doc_id: r.log_likelihood for r in pseudo_likelihood.score(some).collect()}
+    for few in (0, 100):
+        monkeypatch.setattr(pseudo_likelihood.shares, "__defaults__", (few,))
+        got = {r.doc_id: r.log_likelihood for r in pseudo_likelihood.score(some.union(some.limit(0))).collect()}
+        assert got == pytest.approx(whole, rel=1e-5)
+
+
 # Mixing -------------------------------------------------------------------
 
 TARGETS = {"en": 0.4, "fr": 0.3, "de": 0.2, "es": 0.1}
