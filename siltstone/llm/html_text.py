@@ -1,11 +1,12 @@
 """Main text of web pages by two-pass block rules.
 
-A page falls into blocks at block-level tags. Pass one decides a block from where
-it stands (template parts are out; inside the page's article, text is in and lists
-of links are out) and, on pages that mark no article, from its length, link
-density and share of stop words. Short blocks stay open. Pass two gives an open
-block the label of its nearest decided neighbours: both, or the one they agree
-on, and headings look ahead to the text they head.
+A page falls into blocks at block-level tags. Template parts are out. Pass one
+decides every other block of every page from its length, link density and share of
+stop words; short blocks stay open. An article or main element is evidence only:
+what stands in it is not out for want of stop words but stays open. Pass two gives
+an open block the label of its nearest decided neighbours on its side of the
+article's bounds: both, or the one they agree on, and headings look ahead to the
+text they head. The bounds count as good on the inside and as bad outside.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ PARTS = frozenset(
 )
 NAME_PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 GOOD, BAD, OPEN = 1, 0, -1
-#: Limits of pass one on pages without an article.
+#: Limits of pass one.
 SHORT_CHARS, LONG_CHARS, LOW_STOP, HIGH_STOP, MAX_LINK = 70, 160, 0.08, 0.15, 0.33
 
 
@@ -147,26 +148,35 @@ def blocks(page: str) -> list[Block]:
 
 
 def first_pass(found: list[Block]) -> list[int]:
-    marked = any(b.inside and not b.out for b in found)
     labels = []
     for b in found:
-        density = b.linked / b.chars
-        if b.out or marked and not b.inside:
-            labels.append(BAD)
-        elif marked:
-            labels.append(GOOD if density <= MAX_LINK else BAD if b.listed else OPEN)
-        elif density > MAX_LINK:
+        if b.out:
             labels.append(BAD)
+        elif b.linked / b.chars > MAX_LINK:
+            labels.append(OPEN if b.inside and not b.listed else BAD)
         elif b.heading or b.chars < SHORT_CHARS:
             labels.append(OPEN)
         else:
             share = b.stop / b.words
-            labels.append(GOOD if share >= HIGH_STOP or share >= LOW_STOP and b.chars >= LONG_CHARS else OPEN if share >= LOW_STOP else BAD if b.chars >= LONG_CHARS else OPEN)
+            label = GOOD if share >= HIGH_STOP or share >= LOW_STOP and b.chars >= LONG_CHARS else OPEN if share >= LOW_STOP else BAD if b.chars >= LONG_CHARS else OPEN
+            labels.append(OPEN if b.inside and label == BAD else label)
     return labels
 
 
 def second_pass(found: list[Block], labels: list[int]) -> list[int]:
-    """Open blocks take the label that their nearest decided neighbours share; where those differ, a heading that of the next, others that of the nearer one, the page's edge counting as bad."""
+    """Open blocks take the label that their nearest decided neighbours share, of those that stand in an article as they do, or not in one as they do not.
+
+    Where those differ, a heading takes that of the next, others that of the nearer one; the edge counts as good in an article, else as bad.
+    """
+    out = list(labels)
+    for inside, edge in ((True, GOOD), (False, BAD)):
+        at = [i for i, b in enumerate(found) if b.inside == inside]
+        for i, label in zip(at, from_neighbours([found[i] for i in at], [labels[i] for i in at], edge), strict=True):
+            out[i] = label
+    return out
+
+
+def from_neighbours(found: list[Block], labels: list[int], edge: int) -> list[int]:
     n = len(labels)
     before, after = [-1] * n, [n] * n
     for i in range(1, n):
@@ -176,8 +186,8 @@ def second_pass(found: list[Block], labels: list[int]) -> list[int]:
     out = list(labels)
     for i, label in enumerate(labels):
         if label == OPEN:
-            a = labels[before[i]] if before[i] >= 0 else BAD
-            z = labels[after[i]] if after[i] < n else BAD
+            a = labels[before[i]] if before[i] >= 0 else edge
+            z = labels[after[i]] if after[i] < n else edge
             out[i] = a if a == z else z if found[i].heading else a if i - before[i] < after[i] - i else z if i - before[i] > after[i] - i else GOOD
     return out
 

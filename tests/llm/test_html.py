@@ -33,6 +33,14 @@ def test_pages_without_an_article():
     assert extract(page) == f"Head\n{A}\nShort one.\n{B}"
 
 
+def test_an_article_is_evidence_only():
+    """Text beside a small teaser stays; inside an article, a short block between lists of links goes with them."""
+    links = "<ul><li><a href=x>one of the links</a><li><a href=y>another of the links</a></ul>"
+    teaser = "<article><p>Teaser.</p></article>"
+    assert extract(f"<body>{teaser}<div><p>{A}</p><p>Short one.</p><p>{B}</p></div><p>Imprint</p></body>").split("\n")[1:4] == [A, "Short one.", B]
+    assert extract(f"<body><article><p>{A}</p>{links}<p>See also</p>{links}<p>{B}</p></article><p>Imprint</p></body>") == f"{A}\n{B}"
+
+
 def test_neighbours_decide():
     found = [html_text.Block(t, 0, False, False, tag, False) for t, tag in (("x", "p"), (A, "p"), ("y", "p"), (B, "p"), ("z", "h2"), ("w", "p"))]
     labels = html_text.first_pass(found)
