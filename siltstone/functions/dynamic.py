@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
@@ -53,24 +53,29 @@ def kind_of(value) -> str:
 
 def flatten(source: str, pairs: Iterable[tuple], max_depth: int) -> dict[Identity, object]:
     """The leaves of an attribute list. A later key deletes what an earlier one of the same path, or below it, left."""
-    leaves: dict[tuple[str, ...], tuple[str, object]] = {}
-
-    def visit(pairs, path: tuple[str, ...], depth: int) -> None:
+    def tree(pairs, depth: int) -> dict:
+        """By key a (kind, value), or a tree of what lies below it."""
+        out: dict = {}
         for key, value in pairs:
-            here = (*path, key)
-            for old in [p for p in leaves if p[: len(here)] == here]:
-                del leaves[old]
+            out.pop(key, None)
             if value is None or isinstance(value, StringIndex):
                 continue
             if isinstance(value, Pairs) and depth < max_depth:
-                visit(value, here, depth + 1)
+                out[key] = tree(value, depth + 1)
             elif isinstance(value, list):
-                leaves[here] = "json", canonical(value)
+                out[key] = "json", canonical(value)
+            else:
+                out[key] = kind_of(value), value
+        return out
+
+    def leaves(tree: dict, path: tuple[str, ...]) -> Iterator[tuple[Identity, object]]:
+        for key, found in tree.items():
+            if isinstance(found, dict):
+                yield from leaves(found, (*path, key))
             else:
-                leaves[here] = kind_of(value), value
+                yield Identity(source, (*path, key), found[0]), found[1]
 
-    visit(pairs, (), 0)
-    return {Identity(source, path, kind): value for path, (kind, value) in leaves.items()}
+    return dict(leaves(tree(pairs, 0), ()))
 
 
 def names(identities: Iterable[Identity]) -> dict[Identity, str]:

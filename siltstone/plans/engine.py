@@ -7,6 +7,7 @@ import time
 import uuid
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -74,6 +75,30 @@ class Engine:
             df = session.sql(sql)
         return df, files
 
+    def frame(self, store: Store, sql: str) -> DataFrame:
+        """The query's result as a frame of any size, through the gate and over the pruned files; the row cap and the deadline are query()'s."""
+        try:
+            gate.check(self.spark, sql)
+        except InvalidSql as e:
+            raise QueryError("invalid_sql", str(e)) from e
+        with store.pin() as snapshot:
+            return self.plan(self.session(), snapshot, sql)[0]
+
+    def resources(self, tag: str) -> dict:
+        """The largest execution memory of a task of the query's stages, and the bytes that they spilled to memory and disk."""
+        context = self.spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty(1_000)
+        store, peak, spilled = context.statusStore(), 0, 0
+        for job in context.statusTracker().getJobIdsForTag(tag):
+            found = context.statusTracker().getJobInfo(job)
+            for stage in found.get().stageIds() if found.isDefined() else ():
+                try:
+                    data = store.lastStageAttempt(stage)
+                except Py4JJavaError:  # a stage that was skipped, or is no longer kept
+                    continue
+                peak, spilled = max(peak, data.peakExecutionMemory()), spilled + data.memoryBytesSpilled() + data.diskBytesSpilled()
+        return {"memory_peak_bytes": peak, "spill_bytes": spilled}
+
     def query(self, store: Store, sql: str, timeout_s: float | None = None, max_rows: int | None = None) -> Result:
         """The query's whole result, or a QueryError; options only lower the limits."""
         started = time.monotonic()
@@ -120,7 +145,7 @@ class Engine:
                 now = time.monotonic()
                 metrics = {
                     "admission_wait_ns": int((admitted - started) * 1e9), "planning_ns": int((planned - admitted) * 1e9), "execution_ns": int((now - planned) * 1e9), "files_scanned": len(files),
-                    "files_pruned": len(snapshot.files) - len(files), "row_groups_pruned": 0, "rows_returned": len(rows), "timed_out": False, "cancelled": False,
+                    "files_pruned": len(snapshot.files) - len(files), "row_groups_pruned": 0, "rows_returned": len(rows), "timed_out": False, "cancelled": False, **self.resources(tag),
                 }
                 return Result(df.schema, rows, shown, nullable, metrics)
         except QueryError:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.time import event_hour, nanos
@@ -27,10 +27,23 @@ FROM events) """
 T0, T1 = 1_705_276_800_000_000_000, 1_705_363_200_000_000_000
 
 
-def logs_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as log rows. Only the columns a query names are read."""
+def logs_view(spark: SparkSession, sf_dir: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    """The events as log rows, of event times from `start` to before `end` (whole microseconds). Only the columns a query names are read.
+
+    The bounds are compared with the stored timestamps, so that Parquet skips by them: the view's own time is an expression.
+    """
     k = F.get_json_object("props", "$.k").cast("bigint")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kind = events.schema["ts"].dataType
+
+    def at(time: int) -> Column:
+        return F.timestamp_micros(F.lit(time // 1000)).cast(kind)
+
+    if start is not None:
+        events = events.filter(F.col("ts") >= at(start))
+    if end is not None:
+        events = events.filter(F.col("ts") < at(end))
+    return events.select(
         F.col("event_id").alias("wal_sequence"),
         nanos(F.col("ts")).alias("event_time_unix_nano"),
         F.col("event_type").alias("body"),
@@ -41,11 +54,11 @@ def logs_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def query(name: str, sql: str | None):
-    """Registers a function from the logs view to a result, and the oracle's SELECT over the same view."""
+def query(name: str, sql: str | None, start: int | None = None, end: int | None = None):
+    """Registers a function from the logs view, of a span of event times, to a result, and the oracle's SELECT over the whole view."""
 
     def register(f: Callable[[DataFrame], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(logs_view(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(logs_view(spark, sf_dir, start, end))
         if sql is not None:
             ORACLES[name] = LOGS_SQL + sql
         return f
@@ -71,9 +84,9 @@ def project_alias(logs):
     return logs.select(F.col("body").alias("message"), "wal_sequence")
 
 
-@query("filter_time_bound", f"SELECT wal_sequence, event_time_unix_nano FROM logs WHERE event_time_unix_nano >= {T0}")
+@query("filter_time_bound", f"SELECT wal_sequence, event_time_unix_nano FROM logs WHERE event_time_unix_nano >= {T0}", start=T0)
 def filter_time_bound(logs):
-    return logs.filter(F.col("event_time_unix_nano") >= T0).select("wal_sequence", "event_time_unix_nano")
+    return logs.select("wal_sequence", "event_time_unix_nano")
 
 
 @query("filter_body_eq", "SELECT wal_sequence FROM logs WHERE body = 'click'")
@@ -91,10 +104,9 @@ def filter_between(logs):
     return logs.filter(F.col("log_user_id_i64").between(20, 40)).select("wal_sequence", "log_user_id_i64")
 
 
-@query("filter_and", f"SELECT wal_sequence FROM logs WHERE event_time_unix_nano >= {T0} AND event_time_unix_nano < {T1} AND log_k_i64 > 50")
+@query("filter_and", f"SELECT wal_sequence FROM logs WHERE event_time_unix_nano >= {T0} AND event_time_unix_nano < {T1} AND log_k_i64 > 50", start=T0, end=T1)
 def filter_and(logs):
-    time = F.col("event_time_unix_nano")
-    return logs.filter((time >= T0) & (time < T1) & (F.col("log_k_i64") > 50)).select("wal_sequence")
+    return logs.filter(F.col("log_k_i64") > 50).select("wal_sequence")
 
 
 @query("filter_or", "SELECT wal_sequence FROM logs WHERE log_k_i64 = 1 OR log_user_id_i64 = 2")
@@ -188,9 +200,26 @@ sql_query("having", "SELECT log_user_id_i64, count(*) AS n FROM {logs} GROUP BY
 sql_query("select_distinct", "SELECT DISTINCT body, log_k_i64 FROM {logs}")
 
 
-@query("approx_distinct", None)
+@query("approx_distinct", "SELECT body, TRUE AS users_close, TRUE AS middle_close FROM logs GROUP BY body")
 def approx_distinct(logs):
-    return logs.agg(F.approx_count_distinct("log_user_id_i64").alias("users"), F.percentile_approx("log_k_i64", 0.5, 10_000).alias("middle"))
+    """Whether the approximations keep their bounds: three standard errors of the count, and of the rank of the median 1 in 1,000."""
+    found = logs.groupBy("body").agg(
+        F.approx_count_distinct("log_user_id_i64", 0.05).alias("users"), F.countDistinct("log_user_id_i64").alias("exact"), F.percentile_approx("log_k_i64", 0.5, 1_000).alias("middle"),
+        F.percentile("log_k_i64", F.lit(0.498)).alias("low"), F.percentile("log_k_i64", F.lit(0.502)).alias("high"),
+    )
+    return found.select("body", (F.abs(F.col("users") - F.col("exact")) <= F.ceil(0.15 * F.col("exact"))).alias("users_close"), F.col("middle").between(F.floor("low"), F.ceil("high")).alias("middle_close"))
+
+
+sql_query(
+    "first_last_aggregate",
+    "SELECT log_user_id_i64, min_by(body, wal_sequence) AS oldest, max_by(body, wal_sequence) AS newest, any_value(log_user_id_i64) AS own, first(log_user_id_i64) AS head, last(log_user_id_i64) AS tail FROM {logs} GROUP BY log_user_id_i64",
+    "SELECT log_user_id_i64, arg_min(body, wal_sequence) AS oldest, arg_max(body, wal_sequence) AS newest, any_value(log_user_id_i64) AS own, first(log_user_id_i64) AS head, last(log_user_id_i64) AS tail FROM logs GROUP BY log_user_id_i64",
+)
+sql_query(
+    "array_agg_sorted",
+    "SELECT log_user_id_i64, array_join(array_sort(array_agg(DISTINCT body)), '|') AS bodies, CAST(size(array_agg(log_sparse_i64)) AS BIGINT) AS known FROM {logs} GROUP BY log_user_id_i64",
+    "SELECT log_user_id_i64, array_to_string(list_sort(array_agg(DISTINCT body)), '|') AS bodies, count(log_sparse_i64) AS known FROM logs GROUP BY log_user_id_i64",
+)
 
 
 @query("rollup", "SELECT body, log_k_i64 % 4 AS part, count(*) AS n FROM logs GROUP BY ROLLUP (body, log_k_i64 % 4)")
@@ -217,9 +246,9 @@ def newest_top_n(logs):
     return newest(logs.select("body", "event_time_unix_nano", "wal_sequence")).limit(20)
 
 
-@query("newest_top_n_filtered", f"SELECT body, event_time_unix_nano, wal_sequence FROM logs WHERE event_time_unix_nano < {T0} AND body = 'view' ORDER BY event_time_unix_nano DESC, wal_sequence DESC LIMIT 20")
+@query("newest_top_n_filtered", f"SELECT body, event_time_unix_nano, wal_sequence FROM logs WHERE event_time_unix_nano < {T0} AND body = 'view' ORDER BY event_time_unix_nano DESC, wal_sequence DESC LIMIT 20", end=T0)
 def newest_top_n_filtered(logs):
-    return newest(logs.filter((F.col("event_time_unix_nano") < T0) & (F.col("body") == "view")).select("body", "event_time_unix_nano", "wal_sequence")).limit(20)
+    return newest(logs.filter(F.col("body") == "view").select("body", "event_time_unix_nano", "wal_sequence")).limit(20)
 
 
 @query("oldest_top_n", "SELECT body, event_time_unix_nano, wal_sequence FROM logs ORDER BY event_time_unix_nano, wal_sequence LIMIT 20")
@@ -268,50 +297,56 @@ def per_body() -> Window:
     return Window.partitionBy("body").orderBy("event_time_unix_nano", "wal_sequence")
 
 
-ORDER_SQL = "OVER (PARTITION BY body ORDER BY event_time_unix_nano, wal_sequence)"
+def per_user() -> Window:
+    """By user and body: of a few bodies alone each would be a task of its own, which more machines do not shorten."""
+    return Window.partitionBy("log_user_id_i64", "body").orderBy("event_time_unix_nano", "wal_sequence")
+
+
+BODY_SQL = "OVER (PARTITION BY body ORDER BY event_time_unix_nano, wal_sequence)"
+ORDER_SQL = "OVER (PARTITION BY log_user_id_i64, body ORDER BY event_time_unix_nano, wal_sequence)"
 
 
-@query("row_number_per_body", f"SELECT * FROM (SELECT body, wal_sequence, CAST(row_number() {ORDER_SQL} AS INTEGER) AS place FROM logs) WHERE place <= 10")
+@query("row_number_per_body", f"SELECT * FROM (SELECT body, wal_sequence, CAST(row_number() {BODY_SQL} AS INTEGER) AS place FROM logs) WHERE place <= 10")
 def row_number_per_body(logs):
     return logs.select("body", "wal_sequence", F.row_number().over(per_body()).alias("place")).filter("place <= 10")
 
 
 @query("lag_gap", f"SELECT wal_sequence, event_time_unix_nano - lag(event_time_unix_nano) {ORDER_SQL} AS gap, lead(wal_sequence) {ORDER_SQL} AS following FROM logs")
 def lag_gap(logs):
-    gap = F.col("event_time_unix_nano") - F.lag("event_time_unix_nano").over(per_body())
-    return logs.select("wal_sequence", gap.alias("gap"), F.lead("wal_sequence").over(per_body()).alias("following"))
+    gap = F.col("event_time_unix_nano") - F.lag("event_time_unix_nano").over(per_user())
+    return logs.select("wal_sequence", gap.alias("gap"), F.lead("wal_sequence").over(per_user()).alias("following"))
 
 
 @query("running_sum", f"SELECT wal_sequence, CAST(sum(log_k_i64) {ORDER_SQL[:-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running, CAST(sum(log_k_i64) {ORDER_SQL[:-1]} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS BIGINT) AS near FROM logs")
 def running_sum(logs):
-    w = per_body()
+    w = per_user()
     return logs.select("wal_sequence", F.sum("log_k_i64").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("running"), F.sum("log_k_i64").over(w.rowsBetween(-2, 2)).alias("near"))
 
 
-K_SQL = "OVER (PARTITION BY body ORDER BY log_k_i64)"
+K_SQL = "OVER (PARTITION BY log_user_id_i64 ORDER BY log_k_i64)"
 
 
 @query(
     "rank_dense_rank",
-    f"SELECT wal_sequence, CAST(rank() {K_SQL} AS INTEGER) AS place, CAST(dense_rank() {K_SQL} AS INTEGER) AS step, round(percent_rank() {K_SQL}, 6) AS share, round(cume_dist() {K_SQL}, 6) AS below, CAST(ntile(4) OVER (PARTITION BY body ORDER BY log_k_i64, wal_sequence) AS INTEGER) AS quarter FROM logs",
+    f"SELECT wal_sequence, CAST(rank() {K_SQL} AS INTEGER) AS place, CAST(dense_rank() {K_SQL} AS INTEGER) AS step, round(percent_rank() {K_SQL}, 6) AS share, round(cume_dist() {K_SQL}, 6) AS below, CAST(ntile(4) OVER (PARTITION BY log_user_id_i64 ORDER BY log_k_i64, wal_sequence) AS INTEGER) AS quarter FROM logs",
 )
 def rank_dense_rank(logs):
-    w = Window.partitionBy("body").orderBy("log_k_i64")
+    w = Window.partitionBy("log_user_id_i64").orderBy("log_k_i64")
     return logs.select(
         "wal_sequence", F.rank().over(w).alias("place"), F.dense_rank().over(w).alias("step"), F.round(F.percent_rank().over(w), 6).alias("share"), F.round(F.cume_dist().over(w), 6).alias("below"),
-        F.ntile(4).over(Window.partitionBy("body").orderBy("log_k_i64", "wal_sequence")).alias("quarter"),
+        F.ntile(4).over(Window.partitionBy("log_user_id_i64").orderBy("log_k_i64", "wal_sequence")).alias("quarter"),
     )
 
 
 @query("first_last_nth", f"SELECT wal_sequence, first_value(log_k_i64) {ORDER_SQL} AS head, nth_value(log_k_i64, 2) {ORDER_SQL} AS second, last_value(log_k_i64) {ORDER_SQL} AS own FROM logs")
 def first_last_nth(logs):
-    w = per_body()
+    w = per_user()
     return logs.select("wal_sequence", F.first_value("log_k_i64").over(w).alias("head"), F.nth_value("log_k_i64", 2).over(w).alias("second"), F.last_value("log_k_i64").over(w).alias("own"))
 
 
-@query("range_frame", f"SELECT wal_sequence, count(*) OVER (PARTITION BY body ORDER BY event_time_unix_nano RANGE BETWEEN {HOUR} PRECEDING AND CURRENT ROW) AS last_hour FROM logs")
+@query("range_frame", f"SELECT wal_sequence, count(*) OVER (PARTITION BY log_user_id_i64 ORDER BY event_time_unix_nano RANGE BETWEEN {HOUR} PRECEDING AND CURRENT ROW) AS last_hour FROM logs")
 def range_frame(logs):
-    return logs.select("wal_sequence", F.count("*").over(Window.partitionBy("body").orderBy("event_time_unix_nano").rangeBetween(-HOUR, 0)).alias("last_hour"))
+    return logs.select("wal_sequence", F.count("*").over(Window.partitionBy("log_user_id_i64").orderBy("event_time_unix_nano").rangeBetween(-HOUR, 0)).alias("last_hour"))
 
 
 # Sets, subqueries, joins ----------------------------------------------------------
@@ -383,7 +418,18 @@ sql_query(
     "SELECT wal_sequence, CAST(date_trunc('day', make_timestamp(event_time_unix_nano // 1000)) AS TIMESTAMP) AS day, CAST(extract(hour FROM make_timestamp(event_time_unix_nano // 1000)) AS BIGINT) AS h FROM logs",
 )
 
-sql_query("array_functions", "SELECT body, size(collect_set(log_k_i64)) AS kinds, array_max(collect_list(log_k_i64)) AS high, array_contains(collect_set(log_k_i64), 5) AS has_five FROM {logs} GROUP BY body", "SELECT body, CAST(len(list(DISTINCT log_k_i64)) AS INTEGER) AS kinds, list_max(list(log_k_i64)) AS high, list_contains(list(log_k_i64), 5) AS has_five FROM logs GROUP BY body")
+sql_query("array_functions", "SELECT body, size(collect_set(log_k_i64)) AS kinds, array_max(collect_set(log_k_i64)) AS high, array_contains(collect_set(log_k_i64), 5) AS has_five FROM {logs} GROUP BY body", "SELECT body, CAST(len(list(DISTINCT log_k_i64)) AS INTEGER) AS kinds, list_max(list(log_k_i64)) AS high, list_contains(list(log_k_i64), 5) AS has_five FROM logs GROUP BY body")
+sql_query(
+    "map_struct_functions",
+    "SELECT wal_sequence, element_at(map('kind', body, 'k', CAST(log_k_i64 AS STRING)), 'k') AS k, named_struct('a', body, 'b', log_k_i64).b AS b, size(map_keys(map(body, 1))) AS n, array_join(transform(split(body, 'i'), x -> upper(x)), '+') AS parts FROM {logs}",
+    "SELECT wal_sequence, CAST(log_k_i64 AS VARCHAR) AS k, log_k_i64 AS b, CAST(1 AS INTEGER) AS n, array_to_string(list_transform(string_split(body, 'i'), lambda x: upper(x)), '+') AS parts FROM logs",
+)
+sql_query("try_cast", "SELECT wal_sequence, TRY_CAST(body AS INT) AS a, TRY_CAST(CAST(log_k_i64 AS STRING) AS BIGINT) AS b, TRY_CAST(concat(body, '1') AS DOUBLE) IS NULL AS c FROM {logs}")
+sql_query(
+    "date_bin_now",
+    "SELECT date_trunc('minute', window.start) AS bin, count(*) AS n, bool_and(now() > t) AS past, bool_and(to_timestamp('2020-01-01 00:00:00') < t) AS recent FROM (SELECT timestamp_micros(event_time_unix_nano div 1000) AS t FROM {logs}) GROUP BY window(t, '15 minutes')",
+    "SELECT time_bucket(INTERVAL '15 minutes', t) AS bin, count(*) AS n, bool_and(now()::TIMESTAMP > t) AS past, bool_and(TIMESTAMP '2020-01-01 00:00:00' < t) AS recent FROM (SELECT make_timestamp(event_time_unix_nano // 1000) AS t FROM logs) GROUP BY 1",
+)
 sql_query("explode_words", "SELECT w, count(*) AS n FROM (SELECT explode(split(concat(body, ' ', body), ' ')) AS w FROM {logs}) AS t GROUP BY w", "SELECT w, count(*) AS n FROM (SELECT unnest(string_split(concat(body, ' ', body), ' ')) AS w FROM logs) AS t GROUP BY w")
 
 # The other tables ---------------------------------------------------------------------------
@@ -424,5 +470,10 @@ table_query("customers_without_orders", "SELECT c_custkey FROM {customer} WHERE
 
 # Storage ------------------------------------------------------------------------------
 
-QUERIES |= {name: (lambda spark, sf_dir, f=f: f(spark, logs_view(spark, sf_dir))) for name, f in storage_queries.QUERIES.items()}
-ORACLES |= {name: LOGS_SQL + sql for name, sql in storage_queries.ORACLES.items()}
+def stored(f: storage_queries.Reader) -> Callable[[SparkSession, str], DataFrame]:
+    """A query over the session's store of all events."""
+    return lambda spark, sf_dir: f(spark, storage_queries.shared(spark, sf_dir, logs_view(spark, sf_dir)))
+
+
+QUERIES |= {name: stored(f) for name, f in storage_queries.QUERIES.items()}
+ORACLES |= {name: LOGS_SQL.rstrip() + ", " + sql.removeprefix("WITH ") if sql.startswith("WITH ") else LOGS_SQL + sql for name, sql in storage_queries.ORACLES.items()}

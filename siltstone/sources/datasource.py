@@ -1,6 +1,7 @@
 """Frames as a Spark data source, for batches and streams: format("siltstone_frames"), option path.
 
-A stream's offset is the next sequence. Partitions are runs of whole segments, so
+A stream's offset is the next sequence; with the
+option max_bytes a batch takes no more than one generation of frames. Partitions are runs of whole segments, so
 that each segment file is read by one task.
 """
 
@@ -62,14 +63,20 @@ class FrameReader(DataSourceReader):
 class FrameStream(DataSourceStreamReader):
     def __init__(self, options):
         self.path, self.start = options["path"], int(options.get("start", 0))
+        self.at = self.start
+        self.max_bytes = int(options["max_bytes"]) if "max_bytes" in options else None
 
     def initialOffset(self) -> dict:
         return {"next": self.start}
 
     def latestOffset(self) -> dict:
-        return {"next": max(self.start, frames.next_sequence(self.path))}
+        """What there is, or with max_bytes one generation more than was planned last."""
+        if self.max_bytes is None:
+            return {"next": max(self.start, frames.next_sequence(self.path))}
+        return {"next": frames.generation_end(self.path, self.at, self.max_bytes)}
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
+        self.at = max(self.at, end["next"])
         return ranges(self.path, start["next"], end["next"])
 
     def read(self, partition: Range) -> Iterator[tuple]:

@@ -24,15 +24,20 @@ class Files:
         """The names in a folder; none if there is no such folder."""
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self.path(name))) if self.exists(name) else []
 
-    def walk(self, name: str) -> list[str]:
-        """The paths of all files below a folder, relative to the root."""
-        found = []
+    def sizes(self, name: str) -> dict[str, int]:
+        """The sizes of all files below a folder by their paths relative to the root, in order."""
+        found = {}
         if self.exists(name):
             files = self.fs.listFiles(self.path(name), True)
             top = len(self.fs.makeQualified(self.path("")).toString()) + 1
             while files.hasNext():
-                found.append(files.next().getPath().toString()[top:])
-        return sorted(found)
+                status = files.next()
+                found[status.getPath().toString()[top:]] = status.getLen()
+        return dict(sorted(found.items()))
+
+    def walk(self, name: str) -> list[str]:
+        """The paths of all files below a folder, relative to the root."""
+        return list(self.sizes(name))
 
     def read(self, name: str) -> str:
         stream = self.fs.open(self.path(name))

@@ -63,7 +63,21 @@ class Ingest:
         self.done()
 
     def start(self, state: str, interval_ms: int | None = None) -> StreamingQuery:
-        """A stream that publishes every interval, or what there is and then stops. state is the stream's own checkpoint folder."""
-        stream = self.spark.readStream.format("siltstone_frames").option("path", self.directory).option("start", self.store.next).load()
-        writer = stream.writeStream.foreachBatch(self.publish).option("checkpointLocation", state)
-        return (writer.trigger(availableNow=True) if interval_ms is None else writer.trigger(processingTime=f"{interval_ms} milliseconds")).start()
+        """A stream that publishes every interval, or what there is and then stops. state is the stream's own checkpoint folder.
+
+        With an interval a batch is one generation. A stream that stops plans its only batch when it starts, whatever its
+        size, so that batch is published generation by generation.
+        """
+        stream = self.spark.readStream.format("siltstone_frames").option("path", self.directory).option("start", self.store.next)
+        if interval_ms is None:
+            writer = stream.load().writeStream.foreachBatch(self.publish_by_generation).trigger(availableNow=True)
+        else:
+            writer = stream.option("max_bytes", self.max_bytes).load().writeStream.foreachBatch(self.publish).trigger(processingTime=f"{interval_ms} milliseconds")
+        return writer.option("checkpointLocation", state).start()
+
+    def publish_by_generation(self, batch: DataFrame, _: int | None = None) -> None:
+        last = batch.agg(F.max("wal_sequence")).first()[0]
+        while last is not None and self.store.next <= last:
+            end = min(frames.generation_end(self.directory, self.store.next, self.max_bytes), last + 1)
+            self.publish(self.read(end))
+        self.done()
