@@ -28,6 +28,8 @@ from .unigram import SCALE, Unigram
 SCHEMA = "doc_id bigint, sample int, ids array<int>, n_pieces int, log_prob double, score double, log_inclusion double"
 #: Segments whose lattices a worker keeps; all go when there are more.
 STORE_SEGMENTS = 200_000
+#: How far apart the keys of a row's copies are.
+COPY_STRIDE = 0x632BE59BD9B4E019
 MULTIPLIER = 0x9E3779B97F4A7C15
 _lattices: dict[tuple, Lattices] = {}
 
@@ -115,6 +117,7 @@ class Lattices:
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.unknown: list[str] = []
+        self.unknown_ids: dict[int, int] = {}
         self.columns = {name: Column(kind) for name, kind in self.KINDS.items()}
         self.columns["first"].append(np.zeros(1, dtype=np.int64))
         self.view()
@@ -176,17 +179,9 @@ class Lattices:
             piece[slots], length[slots], log_w[slots] = ids, n, self.log_p[ids]
         if len(lone):
             slots = fill[lone + word[lone] + 1]
-            codes = chars[lone]
-            ids = np.empty(len(lone), dtype=np.int64)
-            for code in np.unique(codes):
-                char = chr(int(code))
-                if len(raw := self.model.byte_ids(char)) == 1:
-                    ids[codes == code] = raw[0]
-                else:
-                    if char not in self.unknown:
-                        self.unknown.append(char)
-                    ids[codes == code] = -1 - self.unknown.index(char)
-            piece[slots], length[slots], log_w[slots] = ids, 1, self.theta * self.model.unknown / SCALE
+            codes, which = np.unique(chars[lone], return_inverse=True)
+            ids = np.fromiter(map(self.unknown_id, codes.tolist()), dtype=np.int64, count=len(codes))
+            piece[slots], length[slots], log_w[slots] = ids[which], 1, self.theta * self.model.unknown / SCALE
         base = np.concatenate(([0], ends[:-1])) + np.arange(len(size))
         log_a = np.zeros(len(degree))
         order = np.argsort(-size, kind="stable")
@@ -217,6 +212,15 @@ class Lattices:
             self.columns[name].append(values)
         self.view()
 
+    def unknown_id(self, code: int) -> int:
+        """The piece of a character that is none: its byte's, or where it has several bytes a number below 0."""
+        if code not in self.unknown_ids:
+            raw = self.model.byte_ids(chr(code))
+            self.unknown_ids[code] = raw[0] if len(raw) == 1 else -1 - len(self.unknown)
+            if len(raw) > 1:
+                self.unknown.append(chr(code))
+        return self.unknown_ids[code]
+
     def draw(self, words: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Samples a path through each word from its end to its start: all edges word by word, and how many each has."""
         base = self.base[words]
@@ -379,21 +383,30 @@ def finished(store: Lattices, path: Path, kappa_time: float) -> tuple:
     return ids, path.log_prob, -float(np.log(path.time)), inclusion
 
 
-def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, theta: float = 1.0, seed: int = 42, model: str = unigram.DEFAULT_MODEL) -> DataFrame:
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, theta: float = 1.0, seed: int = 42, model: str = unigram.DEFAULT_MODEL, number_copies: bool = False) -> DataFrame:
     """For each row up to k distinct segmentations in the order of their perturbed log-probability; no shuffle.
 
     sample counts from 0; ids decode to the text exactly; log_prob is the path's log-probability under the unigram model
     raised to theta; score is the perturbed one; log_inclusion is the log of the chance to exceed the (k+1)-th score, 0 if
     there are no more than k segmentations. The draw depends on the row's key (null: as key 0), its text and the seed, so rows
-    that repeat get equal samples. Null and empty texts have one segmentation, without pieces. Other columns are not read.
+    that repeat get equal samples; with number_copies equal rows that follow each other in a partition, as mixing leaves
+    copies, are told apart by their place in that run, and only the first draws as a row alone does. Equal scores, which no
+    two random numbers should give, leave the search's order. Null and empty texts have one segmentation, without pieces.
+    Long texts take time and memory in proportion, characters that are no piece included. An empty table gives an empty
+    one; other columns are not read.
     """
     arrow = arrow_schema(docs.sparkSession, SCHEMA)
 
     def run(batches):
         store = lattices(model, theta)
+        last, copy = None, 0
         for part in sliced(batches, "t", 1_500_000):
-            ids, keys = part.column("i").to_pylist(), part.column("k").to_pylist()
-            found = sample_texts(store, [x * 1_000_003 + seed for x in keys], texts(part, "t"), k)
+            ids, keys, some = part.column("i").to_pylist(), part.column("k").to_pylist(), texts(part, "t")
+            if number_copies:
+                for n, row in enumerate(zip(ids, some, strict=True)):
+                    last, copy = row, copy + 1 if row == last else 0
+                    keys[n] += copy * COPY_STRIDE
+            found = sample_texts(store, [x * 1_000_003 + seed for x in keys], some, k)
             flat = [(i, n, *s) for i, x in zip(ids, found, strict=True) for n, s in enumerate(x)]
             lengths = np.array([len(x[2]) for x in flat], dtype=np.int32)
             values = np.concatenate([x[2] for x in flat] or [np.zeros(0)]).astype(np.int32)
