@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -133,15 +134,45 @@ def brute_anchors(text):
         x = ((x ^ (x >> 32)) * int(syncmers.MIX)) % 2**64
         return x ^ (x >> 29)
 
-    out = {}
+    out = []
     for i in range(len(text) - k + 1):
         inner = [h(text[i + j : i + j + s]) for j in range(k - s + 1)]
         if min(inner) in (inner[0], inner[-1]):
-            out.setdefault(h(text[i : i + k]) >> 32, i)
-    return sorted(out.items())[: syncmers.ANCHORS]
+            out.append((h(text[i : i + k]), i))
+    return sorted(out)
 
 
-@pytest.mark.parametrize("text", ["the quick brown fox jumps over the lazy dog, and then again", "é日\U0001f600 " * 12, "a" * 50, "abcdefghijklmnop"])
+def brute_likeness(a, b):
+    """The longest common subsequence of occurrences, paired first with first."""
+    def numbered(found):
+        seen = Counter()
+        out = []
+        for h, p in sorted(found, key=lambda x: x[1]):
+            out.append((h, seen[h]))
+            seen[h] += 1
+        return out
+
+    x, y = numbered(a), numbered(b)
+    if x == y and sorted(a) == sorted(b):
+        return 1.0
+    table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, p in enumerate(x):
+        for j, q in enumerate(y):
+            table[i + 1][j + 1] = table[i][j] + 1 if p == q else max(table[i][j + 1], table[i + 1][j])
+    return 2 * table[-1][-1] / (len(x) + len(y)) if x and y else 0.0
+
+
+def test_likeness_equals_brute_force():
+    rng = random.Random(9)
+    passages = ["".join(rng.choices("abcdefgh ", k=60)) for _ in range(6)]
+    texts = ["".join(rng.choices(passages, k=rng.randint(0, 8))) for _ in range(12)]
+    for a in texts:
+        for b in texts:
+            x, y = syncmers.sketch(a), syncmers.sketch(b)
+            assert syncmers.likeness(x, y) == pytest.approx(brute_likeness(x, y))
+
+
+@pytest.mark.parametrize("text", ["the quick brown fox jumps over the lazy dog, and then again", "é日\U0001f600 " * 12, "a" * 50, "abcdefghijklmnopqrstuvwx", "abcdefghijklmnopqrstuvwxyz" * 3])
 def test_anchors(text):
     assert syncmers.sketch(text) == brute_anchors(text)
     assert syncmers.parsed(syncmers.spelled(syncmers.sketch(text))) == syncmers.sketch(text)
@@ -169,8 +200,8 @@ def test_long_texts_keep_every_anchor():
     rng = random.Random(6)
     a, b, passage = ("".join(rng.choices("abcdefghij ", k=n)) for n in (20_000, 20_000, 300))
     brute = brute_anchors(a)
-    assert len(brute) > 3000 and syncmers.sketch(a) == brute
-    assert syncmers.spelled(brute) == ",".join(f"{h:08x}:{p:x}" for p, h in sorted((p, h) for h, p in brute))
+    assert len(brute) > 2000 and syncmers.sketch(a) == brute
+    assert syncmers.spelled(brute) == ",".join(f"{h:016x}:{p:x}" for p, h in sorted((p, h) for h, p in brute))
     for at in range(0, 20_000, 2000):
         assert syncmers.likeness(syncmers.sketch(a[:at] + passage + a[at:]), syncmers.sketch(b + passage)) > 0
         assert syncmers.likeness(brute, syncmers.sketch(a[:at] + passage[:100] + a[at + 100 :])) < 1
@@ -185,7 +216,7 @@ def test_next_rows(spark, docs, corpus, partitions):
             rows = syncmers.fingerprints(some).collect()
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", held)
-        order = sorted(((d.doc_id, d.text or "") for d in some.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
+        order = sorted(((d.doc_id, d.text or "") for d in some.collect()), key=lambda x: (x[0] is not None, x[0] or 0, int(np.uint64(xxh64_intdigest(x[1].encode(), 42)).astype(np.int64))))
         want = []
         for n, (i, t) in enumerate(order):
             after, half = order[(n + 1) % len(order)][1], len(t) // 2
@@ -197,3 +228,20 @@ def test_next_rows(spark, docs, corpus, partitions):
 
 def test_no_rows(spark, docs):
     assert syncmers.fingerprints(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_a_hot_id_is_split(spark, same):
+    """Rows without ids, equal or not, go to all partitions, and one row a range is copied."""
+    from pyspark.sql import functions as F
+
+    some = spark.range(3000).select(F.lit(None).cast("bigint").alias("doc_id"), (F.lit("one text of many words") if same else F.concat(F.lit("text "), "id")).alias("text")).repartition(3)
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        sizes = Counter(r[0] for r in syncmers.in_order(some, "doc_id", "text").select(F.spark_partition_id()).collect())
+        rows = syncmers.fingerprints(some)
+        assert sum(sizes.values()) == 3008 and max(sizes.values()) < 600
+        assert rows.count() == 3000 and (not same or rows.agg(F.min("near_next")).first()[0] == 1.0)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
