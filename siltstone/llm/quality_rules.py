@@ -1,10 +1,13 @@
 """Quality rules by weak supervision.
 
-Each rule votes good or bad on a document, or abstains. Expectation-maximisation
-on the counts of vote patterns (at most 3 ** len(RULES) rows, so the driver's
-share has a fixed bound) estimates the class share and each rule's accuracy in
-either class; the posterior of "good" decides. Two scans of the documents at
-most, one small shuffle of pattern counts, no shuffle of texts.
+Each rule votes good or bad on a document, or abstains, and none alone decides.
+Expectation-maximisation on the counts of vote patterns (at most 3 ** len(RULES)
+rows, so the driver's share has a fixed bound) estimates the class shares and each
+rule's accuracy; the posterior of "good" decides. Bad documents come in kinds, of
+which each trips some rules together, so the bad class is a mixture of as many
+kinds as there are rules. It is learnt from the documents that pass the base
+rules. One scan of the documents, one small shuffle of pattern counts, no shuffle
+of texts.
 """
 
 from __future__ import annotations
@@ -68,21 +71,21 @@ def ratio(a: str, b: str) -> Column:
 
 
 def rules() -> dict[str, tuple[Column, Column]]:
-    """For each rule, when it votes good and when it votes bad; it abstains otherwise."""
+    """For each rule, when it votes good and when it votes bad; it abstains otherwise. None restates a base rule. Thresholds are strict: a rule may be wrong, as others outvote it."""
     def below(x: Column, good: float, bad: float) -> tuple[Column, Column]:
-        return x <= good, x >= bad
+        return x <= good, x > bad
 
-    length = ratio("word_chars", "n_words")
+    length, dup, enough = ratio("word_chars", "n_words"), ratio("n_dup_lines", "n_lines"), F.col("n_words") >= 20
     return {
-        "words": (F.col("n_words") >= 60, F.col("n_words") < 50),
-        "word_length": (length.between(3, 7.5), (length < 2) | (length > 9)),
-        "symbols": below(ratio("n_symbols", "n_words"), 0.02, 0.2),
-        "repeats": below(ratio("n_repeat_words", "n_words"), 0.1, 0.35),
-        "lines": below(ratio("n_dup_lines", "n_lines"), 0.1, 0.4),
-        "capitals": below(ratio("n_upper", "n_words"), 0.1, 0.4),
-        "bangs": below(ratio("n_bangs", "n_words"), 0.02, 0.2),
-        "stop_words": (ratio("n_stop", "n_words") >= 0.1, ratio("n_stop", "n_words") <= 0.03),
-        "letters": (ratio("n_alpha", "n_words") >= 0.6, ratio("n_alpha", "n_words") <= 0.35),
+        "word_length": (length.between(3, 7), ~length.between(3, 10)),
+        "symbols": below(ratio("n_symbols", "n_words"), 0.02, 0.1),
+        "repeats": below(ratio("n_repeat_words", "n_words"), 0.05, 0.15),
+        "lines": ((F.col("n_dup_lines") == 0) & (F.col("n_lines") > 1), dup > 0.1),
+        "capitals": below(ratio("n_upper", "n_words"), 0.05, 0.1),
+        "bangs": below(ratio("n_bangs", "n_words"), 0.02, 0.1),
+        "stop_words": (enough & (ratio("n_stop", "n_words") >= 0.1), enough & (ratio("n_stop", "n_words") < 0.06)),
+        "letters": (enough & (ratio("n_alpha", "n_words") >= 0.75), enough & (ratio("n_alpha", "n_words") < 0.7)),
+        "line_length": (ratio("n_words", "n_lines") >= 10, ratio("n_words", "n_lines") < 5),
     }
 
 
@@ -91,48 +94,58 @@ def pattern() -> Column:
     return F.concat(*(F.when(good, "g").when(bad, "b").otherwise("-") for good, bad in rules().values()))
 
 
+def repeats_itself() -> Column:
+    return 100 * F.col("n_repeat_words") > 50 * F.col("n_words")
+
+
 def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return (F.col("n_words") < 50) | repeats_itself()
 
 
-PRECISION = 0.99
+#: Prior beliefs, weighed as WEIGHT of the documents: how many are bad, how often a rule is wrong on a good document, and how often the rule that names a
+#: kind of bad ones, and any other rule, is right on it. No estimate is bounded by them.
+BAD, WRONG, OWN, OTHER, WEIGHT = 0.1, 0.05, 0.9, 0.5, 0.1
 
 
-def estimate(patterns: dict[str, int], steps: int = 200) -> dict:
-    """EM on pattern counts: share of good documents, and each rule's chance to vote right when it votes, for good and for bad ones.
+def estimate(patterns: dict[str, tuple[int, int]], steps: int = 500) -> dict:
+    """EM on vote patterns, each with how many documents have it and how many of these to learn from.
 
-    Bad documents come in kinds that each trip a few rules, while the rules abstain
-    wherever a good document might trip them. So a good document's votes are right
-    with a chance of PRECISION at least; without that bound the bad class shrinks to
-    the most frequent kind. Priors of ten documents' weight keep every estimate
-    inside (0, 1), also on an empty table.
+    Gives the share of good documents, the shares of the kinds of bad ones, for each rule its chance to vote bad, when it
+    votes, on good documents and on each kind, and the posterior of "good" for each pattern. The start is lopsided: good
+    documents hardly trip a rule, and kind j trips rule j. The priors' weight is at least that of ten documents, which
+    keeps every estimate inside (0, 1), also on an empty table.
     """
     keys = sorted(patterns)
     m = len(rules())
     votes = np.array([[{"g": 1, "b": -1}.get(c, 0) for c in k] for k in keys], dtype=float).reshape(len(keys), m)
-    counts = np.array([patterns[k] for k in keys], dtype=float)
-    share, right_good, right_bad = 0.8, np.full(m, PRECISION), np.full(m, 0.4)
+    bad, good = (votes < 0).astype(float), (votes > 0).astype(float)
+    counts = np.array([patterns[k][1] for k in keys], dtype=float)
+    start = np.concatenate(([1 - BAD], np.full(m, BAD / m)))
+    prior = np.vstack([np.full(m, WRONG), np.where(np.eye(m) > 0, OWN, OTHER)])
+    weight = np.maximum(10, WEIGHT * counts.sum() * start)[:, None]
+    share, trips = start, prior
     for _ in range(steps):
-        p = posterior(votes, share, right_good, right_bad)
-        before = share, right_good.copy(), right_bad.copy()
-        share = (counts @ p + 8) / (counts.sum() + 10)
-        good, bad = counts * p, counts * (1 - p)
-        right_good = np.maximum(PRECISION, (good @ (votes > 0) + 9.9) / (good @ (votes != 0) + 10))
-        right_bad = (bad @ (votes < 0) + 4) / (bad @ (votes != 0) + 10)
-        if abs(share - before[0]) + np.abs(right_good - before[1]).sum() + np.abs(right_bad - before[2]).sum() < 1e-10:
+        held = counts[:, None] * members(bad, good, share, trips)
+        before = share, trips
+        share = (held.sum(axis=0) + 10 * start) / (counts.sum() + 10)
+        trips = (held.T @ bad + weight * prior) / (held.T @ (bad + good) + weight)
+        if np.abs(share - before[0]).sum() + np.abs(trips - before[1]).sum() < 1e-9:
             break
-    return {"share": float(share), "right_good": right_good.tolist(), "right_bad": right_bad.tolist(), "posterior": dict(zip(keys, posterior(votes, share, right_good, right_bad).tolist(), strict=True))}
+    found = members(bad, good, share, trips)[:, 0]
+    return {"share": float(share[0]), "kinds": share[1:].tolist(), "wrong_good": trips[0].tolist(), "right_bad": trips[1:].tolist(), "posterior": dict(zip(keys, found.tolist(), strict=True))}
 
 
-def posterior(votes: np.ndarray, share: float, right_good: np.ndarray, right_bad: np.ndarray) -> np.ndarray:
-    odds = np.log(share / (1 - share))
-    odds = odds + (votes > 0) @ np.log(right_good / (1 - right_bad)) + (votes < 0) @ np.log((1 - right_good) / right_bad)
-    return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+def members(bad: np.ndarray, good: np.ndarray, share: np.ndarray, trips: np.ndarray) -> np.ndarray:
+    """For each pattern the chances of being good (column 0) and of each kind of bad. A rule that abstains says nothing."""
+    logs = np.log(share) + bad @ np.log(trips).T + good @ np.log(1 - trips).T
+    odds = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return odds / odds.sum(axis=1, keepdims=True)
 
 
 def fit(measured: DataFrame) -> dict:
-    """The label model of a table of features()."""
-    return estimate({r.votes: r.n for r in measured.groupBy(pattern().alias("votes")).agg(F.count("*").alias("n")).collect()})
+    """The label model of a table of features(), learnt from the rows that pass the base rules."""
+    learnt = F.sum(F.when(base_failed(), 0).otherwise(1))
+    return estimate({r.votes: (r.n, r.m) for r in measured.groupBy(pattern().alias("votes")).agg(F.count("*").alias("n"), learnt.alias("m")).collect()})
 
 
 def looked_up(model: dict) -> Column:
@@ -145,26 +158,29 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     """Features, base_failed, votes, the posterior p_good and kept, one row for each row of docs.
 
     Null or empty texts have no words, fail the base rules and are not kept; rows that repeat count as often as they occur;
-    an empty table gives an empty one; columns besides the two named are not read.
+    a posterior equal to the threshold keeps; texts are measured whole, in memory in proportion to the longest; an empty
+    table gives an empty one; columns besides the two named are not read.
     """
     measured = checkpointed(features(docs, id_col, text_col))
     model = fit(measured)
     return measured.withColumns({"base_failed": base_failed(), "votes": pattern(), "p_good": looked_up(model)}).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
 
-def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def keep(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, min_words: int = 50) -> DataFrame:
     """The rows of docs that judge() keeps, with their columns.
 
-    Features are taken a second time beside the rows, so that no text is shuffled
-    or written and neither null nor repeated ids matter.
+    With a smaller min_words also those short texts, of at least so many words, that fail the base rules for nothing but
+    their length and have a posterior that keeps them: shortness alone says nothing against a text. Each text is measured
+    once: the rows are written out with their features, so that no text is shuffled and neither null nor repeated ids
+    matter. Rows that repeat stay or go together; an empty table gives an empty one.
     """
-    model = fit(features(docs, id_col, text_col))
     mark = free_name("_measured", docs.columns)
 
     def change(texts):
         return {mark: pa.array([",".join(map(str, measure(t or ""))) for t in texts], type=pa.string())}
 
-    wide = map_rows(docs, text_col, change, StructType([*docs.schema.fields, StructField(mark, StringType())]))
+    wide = checkpointed(map_rows(docs, text_col, change, StructType([*docs.schema.fields, StructField(mark, StringType())])))
     values = F.split(F.col(mark), ",")
     inner = wide.select(F.struct(*docs.columns).alias("row"), *(values[i].cast("bigint").alias(f) for i, f in enumerate(FEATURES)))
-    return inner.filter(~base_failed() & (looked_up(model) >= threshold)).select("row.*")
+    model = fit(inner)
+    return inner.filter((F.col("n_words") >= max(1, min_words)) & ~repeats_itself() & (looked_up(model) >= threshold)).select("row.*")

@@ -43,20 +43,59 @@ def test_judge(docs, corpus, labels):
     assert quality_rules.keep(docs).columns == docs.columns
 
 
-def test_label_model_finds_the_accuracies():
+def test_label_model_finds_kinds_and_accuracies(spark):
+    """Planted: good texts that each rule wrongs at times, and two kinds of bad ones of which each trips three rules."""
     rng = np.random.default_rng(0)
-    good = rng.random(20_000) < 0.7
     m = len(quality_rules.rules())
-    rows = {}
-    for g in good:
-        key = "".join("-" if rng.random() < 0.2 else "gb"[int((rng.random() < 0.002) if g else (rng.random() < 0.45))] for _ in range(m))
-        rows[key] = rows.get(key, 0) + 1
+    chance = np.full((3, m), 0.03)
+    chance[1, :3], chance[2, 4:7] = 0.85, 0.85
+    kinds = rng.choice(3, 20_000, p=[0.8, 0.12, 0.08])
+    rows, truth = {}, {}
+    for k in kinds:
+        key = "".join("-" if rng.random() < 0.2 else "gb"[int(rng.random() < chance[k, j])] for j in range(m))
+        n = rows.get(key, (0, 0))[0] + 1
+        rows[key] = (n, n)
+        truth.setdefault(key, []).append(k == 0)
     model = quality_rules.estimate(rows)
-    assert model["share"] == pytest.approx(0.7, abs=0.02)
-    assert np.allclose(model["right_bad"], 0.45, atol=0.04) and min(model["right_good"]) >= quality_rules.PRECISION
+    assert model["share"] == pytest.approx(0.8, abs=0.02) and sorted(model["kinds"])[-2:] == pytest.approx([0.08, 0.12], abs=0.02)
+    assert np.allclose(model["wrong_good"], 0.03, atol=0.02)
+    right = sum(sum(t) if model["posterior"][k] >= 0.5 else len(t) - sum(t) for k, t in truth.items())
+    all_pass = sum(sum(t) if "b" not in k else len(t) - sum(t) for k, t in truth.items())
+    votes = np.array([[{"g": 1, "b": -1}.get(c, 0) for c in key] for key in truth])
+    best = quality_rules.members((votes < 0).astype(float), (votes > 0).astype(float), np.array([0.8, 0.12, 0.08]), chance)[:, 0]  # by the planted chances
+    possible = sum(sum(t) if p >= 0.5 else len(t) - sum(t) for p, t in zip(best, truth.values(), strict=True))
+    assert right >= possible - 0.003 * len(kinds) and all_pass < possible - 0.05 * len(kinds)
     assert quality_rules.estimate({})["posterior"] == {}
 
 
+def test_posterior_equals_bayes(spark):
+    """The posterior by the definition, one vote at a time."""
+    patterns = {"ggggggggg": (60, 60), "gb-gggbbg": (9, 9), "---------": (2, 0), "bbbbbbbbb": (1, 0)}
+    model = quality_rules.estimate(patterns)
+    for key, p in model["posterior"].items():
+        odds = []
+        for share, trips in [(model["share"], model["wrong_good"]), *zip(model["kinds"], model["right_bad"], strict=True)]:
+            for vote, trip in zip(key, trips, strict=True):
+                share *= {"b": trip, "g": 1 - trip, "-": 1}[vote]
+            odds.append(share)
+        assert p == pytest.approx(odds[0] / sum(odds))
+
+
+def test_votes_beat_all_must_pass(spark, labels):
+    """On documents that pass the base rules the verdict differs from "no bad vote" and agrees better with the labels, which the model never sees."""
+    found = quality_rules.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("not base_failed")
+    both = found.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").withColumn("all_pass", ~F.col("votes").contains("b"))
+    r = both.agg(*(F.avg((F.col(c) == (F.col("quality") == 1)).cast("int")).alias(c) for c in ("kept", "all_pass")), F.sum((F.col("kept") != F.col("all_pass")).cast("int")).alias("differ")).first()
+    assert r.kept > 0.99 and r.kept > r.all_pass and r.differ > 0
+
+
+def test_keep_short_texts(spark, corpus, labels):
+    found = quality_rules.judge(corpus)
+    kept = {r.doc_id for r in quality_rules.keep(corpus, min_words=1).select("doc_id").collect()}
+    want = found.filter("kept or n_words between 1 and 49 and not 100 * n_repeat_words > 50 * n_words and p_good >= 0.5")
+    assert kept == {r.doc_id for r in want.collect()}
+
+
 # Factorisation machine ----------------------------------------------------
 
 
