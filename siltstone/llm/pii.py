@@ -1,10 +1,12 @@
 """Personal data with offset-preserving deobfuscation.
 
-Base identifiers are found in the text as it stands. Then transducers rewrite
-disguised stretches (look-alike letters, spelled digits, "at" and "dot") into
-plain ones while they keep, for each character they write, the source characters
-it came from; the same detectors run over the rewritten stretches and their spans
-are mapped back. A text without anything that they would rewrite costs one more
+Base identifiers are found in the text as it stands. Then three finite-state
+transducers, one after another, rewrite disguised stretches (look-alike letters;
+spelled digits; "at" and "dot") into plain ones while they keep, for each
+character they write, the source characters it came from; the same detectors run
+over the result and their spans are mapped back. A transducer reads the text's
+tokens once, in a bounded number of states, so time grows with the text and with
+nothing else. A text without anything that they would rewrite costs one more
 search. All offsets are code points, ends exclusive.
 """
 
@@ -14,6 +16,7 @@ import hashlib
 import re
 import unicodedata
 from array import array
+from bisect import bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -22,7 +25,8 @@ from pyspark.sql import DataFrame
 from .common import map_rows, map_texts
 
 KINDS = ("email", "ip", "card", "phone")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match of the base pattern always begins at the start of a run of digits and takes runs whole; said so, no run is read twice.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -96,21 +100,13 @@ def plain_spans(text: str) -> list[tuple[int, int, int]]:
 
 # Disguises ---------------------------------------------------------------
 
-AT = r"(?:\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+)"
-HIDDEN_DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)"
-DOT = rf"(?:{HIDDEN_DOT}|\.)"
-NAME = r"[A-Za-z0-9_%+-]+"
 DIGITS = "(?:" + "|".join(DIGIT_WORDS) + ")"
-NOT_NAME = r"(?![A-Za-z0-9_%+-])"
-#: An address whose @ or dots are disguised; behind a bare "at" a dot must be, for prose has "at" before plain names of sites.
-ADDRESS = re.compile(
-    rf"(?i)(?<![A-Za-z0-9_%+-]){NAME}(?:{DOT}{NAME})*"
-    rf"(?:(?:\s*[\[({{<]\s*at\s*[\])}}>]\s*|\s*@\s*){NAME}(?:{DOT}{NAME})+|\s+at\s+{NAME}(?:\.{NAME})*{HIDDEN_DOT}{NAME}(?:{DOT}{NAME})*){NOT_NAME}"
-)
-#: Spelled digits, mixed with plain ones and the marks between them; a stretch has two spelled ones side by side.
-SPELLED = re.compile(rf"(?i)(?:(?:\bplus\b|\+)[\s-]*)?(?:\b{DIGITS}\b|[0-9]+)(?:[\s,-]*(?:(?:\bdot\b|[\[({{]dot[\])}}]|\.|[()])[\s,-]*)?(?:\b{DIGITS}\b|[0-9]+))+")
-NUMBERS = re.compile(rf"(?i)[0-9]+(?:{DOT}[0-9]+)+")
-DOT_TOKEN = re.compile(rf"(?i){DOT}")
+#: Tokens of the digit transducer: letters, digits, a gap, a mark; anything else ends what it reads.
+DIGIT_TOKEN = re.compile(r"([A-Za-z]+)|([0-9]+)|([\s,-]+)|([.()\[\]{}+])|[^A-Za-z0-9\s,.()\[\]{}+-]+")
+#: Tokens of the mark transducer: a name, blanks, @ or a full stop, an opening bracket; anything else ends what it reads.
+MARK_TOKEN = re.compile(r"([A-Za-z0-9_%+-]+)|(\s+)|([@.])|([\[({<])|[^A-Za-z0-9_%+\s@.\[({<-]+")
+BRACKETED = re.compile(r"(?i)[\[({<]\s*+(at|dot|\.)\s*+[\])}>]")
+OPENING, CLOSING = "[({", "])}"
 
 
 #: What every stretch that the transducers change contains, look-alikes apart: a spelled digit, a bracketed at or dot, a dot word
@@ -152,37 +148,152 @@ def without_look_alikes(source: Rewritten) -> Rewritten:
     return rewrite(source, [(m.start(), m.end(), table[m[0]]) for m in odd_chars().finditer(source.text)])
 
 
+def in_word(c: str) -> bool:
+    return c == "_" or c.isalnum()
+
+
 def spoken_digits(source: Rewritten) -> Rewritten:
-    """Spelled digits become digits and lose the blanks between them."""
-    pieces = []
-    for m in SPELLED.finditer(source.text):
-        if not re.search(rf"(?i)\b{DIGITS}\b", m[0]):
+    """In stretches of digits of which some are spelled, these become digits, plus and dot become marks, and the gaps go.
+
+    A stretch is [plus] number (gap number)*, a number a word of DIGIT_WORDS or a run of digits, a gap blanks, commas and
+    hyphens with at most one mark (dot, a bracketed dot, or one of . and round brackets) among them.
+    """
+    text = source.text
+    pieces: list[tuple[int, int, str]] = []
+    stretch: list[tuple[int, int, str | None]] = []  # its tokens and what they become, None where they stay
+    numbers = spelled = skip = 0
+    mark = plus = None  # waiting for the number behind them
+
+    def end() -> None:
+        nonlocal numbers, spelled, mark, plus
+        if spelled and numbers > 1:
+            at = stretch[0][0]
+            for a, z, new in stretch:
+                if at < a:
+                    pieces.append((at, a, ""))
+                if new is not None:
+                    pieces.append((a, z, new))
+                at = z
+        stretch.clear()
+        numbers = spelled = 0
+        mark = plus = None
+
+    for m in DIGIT_TOKEN.finditer(text):
+        a, z = m.span()
+        if a < skip:
+            continue
+        kind = m.lastindex
+        if kind == 3:
+            if plus and "," in m[0]:
+                plus = None
+            continue
+        new = None
+        if kind == 1:
+            word = m[0].lower()
+            if (word in DIGIT_WORDS or word in ("dot", "plus")) and not (a and in_word(text[a - 1]) or z < len(text) and in_word(text[z])):
+                new = DIGIT_WORDS.get(word) or ("." if word == "dot" else "+")
+        if kind == 2 or new is not None and new.isdigit():
+            if not stretch and plus:
+                stretch.append(plus)
+            elif mark:
+                stretch.append(mark)
+            mark = plus = None
+            stretch.append((a, z, new))
+            numbers, spelled = numbers + 1, spelled + (new is not None)
             continue
-        at = m.start()
-        for token in re.finditer(rf"(?i)\b{DIGITS}\b|\bplus\b|[\[({{]dot[\])}}]|\bdot\b|[0-9]+|[.+()]", m[0]):
-            word = token[0].lower()
-            a, z = m.start() + token.start(), m.start() + token.end()
-            if a > at and at > m.start() and re.fullmatch(r"[\s,-]*", source.text[at:a]):
-                pieces.append((at, a, ""))
-            new = DIGIT_WORDS.get(word) or ("+" if word == "plus" else "." if "dot" in word else None)
-            if new is not None:
-                pieces.append((a, z, new))
-            at = z
-    return rewrite(source, pieces)
+        if kind == 4:
+            if text[a] in OPENING and text[a + 1 : a + 4].lower() == "dot" and text[a + 4 : a + 5] and text[a + 4] in CLOSING:
+                new, z = ".", a + 5
+                skip = z
+            elif text[a] in ".()":
+                new = ""
+        if kind == 4 and text[a] == "+" or new == "+":
+            end()
+            plus = a, z, new
+        elif new is None or mark or not stretch:
+            end()
+        else:
+            mark = a, z, new or None
+    end()
+    return rewrite(source, pieces) if pieces else source
 
 
 def spoken_marks(source: Rewritten) -> Rewritten:
-    """In disguised addresses at becomes @, dot (also between numbers) a full stop, and the blanks around them go."""
-    pieces = [(m.start() + x.start(), m.start() + x.end(), ".") for m in NUMBERS.finditer(source.text) for x in DOT_TOKEN.finditer(m[0])]
-    source = rewrite(source, pieces) if pieces else source
-    pieces = []
-    for m in ADDRESS.finditer(source.text):
-        marks = [(x.start(), x.end(), "@") for x in re.finditer(rf"(?i){AT}|\s*@\s*", m[0])][-1:]
-        if not marks:
+    """In addresses at becomes @ and dot a full stop, without the blanks around them; so does dot between digits.
+
+    Names and marks in turn make a chain. A mark is @, at in brackets, at between blanks, or a full stop, dot or a full
+    stop in brackets, dot between blanks. In a chain an address is name (dot name)* at name (dot name)+, the leftmost
+    first; behind an at between blanks one dot must be hidden, for prose has "at" before plain names of sites.
+    """
+    text = source.text
+    pieces: list[tuple[int, int, str]] = []
+    marks: list[tuple[str, int, int]] = []  # of the chain, each followed by a name, but for the last perhaps
+    names = 0
+    gap = -1  # where blanks begin that may belong to a mark
+
+    def end() -> None:
+        nonlocal names
+        if names > 1:
+            rewrite_chain(text, marks[: names - 1], pieces)
+        marks.clear()
+        names = 0
+
+    def put(what: str, a: int, z: int) -> None:
+        if names == len(marks) + 1:
+            marks.append((what, a, z))
+        else:
+            end()
+
+    skip = 0
+    for m in MARK_TOKEN.finditer(text):
+        a, z = m.span()
+        if a < skip:
+            continue
+        kind = m.lastindex
+        if kind == 2:
+            if names and names == len(marks) and marks[-1][0] != ".":
+                marks[-1] = marks[-1][0], marks[-1][1], z
+            else:
+                gap = a
             continue
-        marks += [(x.start(), x.end(), ".") for x in DOT_TOKEN.finditer(m[0]) if x.end() <= marks[0][0] or x.start() >= marks[0][1]]
-        pieces += [(m.start() + a, m.start() + z, new) for a, z, new in sorted(marks)]
-    return rewrite(source, pieces)
+        before, gap = gap, -1
+        word = m[0].lower() if kind == 1 and z - a <= 3 else ""
+        if word in ("at", "dot") and a and text[a - 1].isspace() and z < len(text) and text[z].isspace():
+            put(word, before if before >= 0 else a, z)
+        elif kind == 1:
+            if before >= 0 or names > len(marks):
+                end()
+            names += 1
+        elif kind == 3 and text[a] == "@":
+            put("@", before if before >= 0 else a, z)
+        elif kind == 3 and before < 0:
+            put(".", a, z)
+        elif kind == 4 and (b := BRACKETED.match(text, a)):
+            put("@" if b[1].lower() == "at" else "dot", before if before >= 0 else a, b.end())
+            skip = b.end()
+        else:
+            end()
+    end()
+    return rewrite(source, pieces) if pieces else source
+
+
+def rewrite_chain(text: str, marks: list[tuple[str, int, int]], pieces: list[tuple[int, int, str]]) -> None:
+    """Adds the replacements of one chain. Mark j stands between the names j and j + 1."""
+    plain_marks = {}
+    ats = [j for j, (what, _, _) in enumerate(marks) if what in ("@", "at")]
+    free = 0  # the first name that no address has
+    for n, j in enumerate(ats):
+        first = max(free, ats[n - 1] + 1 if n else 0)
+        last = ats[n + 1] if n + 1 < len(ats) else len(marks)
+        dots = range(j + 1, last)
+        if first <= j and dots and (marks[j][0] == "@" or any(marks[d][0] == "dot" for d in dots)):
+            plain_marks[j] = "@"
+            plain_marks |= dict.fromkeys((*range(first, j), *dots), ".")
+            free = last + 1
+    for j, (what, a, z) in enumerate(marks):
+        if what == "dot" and j not in plain_marks and text[a - 1] in "0123456789" and text[z] in "0123456789":
+            plain_marks[j] = "."
+    pieces.extend((marks[j][1], marks[j][2], new) for j, new in sorted(plain_marks.items()) if text[marks[j][1] : marks[j][2]] != new)
 
 
 def hidden_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -199,7 +310,8 @@ def hidden_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         start, end = now.back(a, z)
         if now.text[a:z] != text[start:end]:  # else the base rules have judged it
             out.add((kind, start, end))
-    return [x for x in sorted(out) if not any(k == x[0] and a <= x[1] and x[2] <= z for k, a, z in base)]
+    # base spans of a kind lie apart and in order, so only the last that begins no later can cover one
+    return [x for x in sorted(out) if not (n := bisect_right(base, (x[0], x[1], len(text)))) or base[n - 1][0] != x[0] or base[n - 1][2] < x[2]]
 
 
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -230,7 +342,9 @@ def redact(text: str) -> str:
 def find_all(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: counts of base spans by kind, counts with disguised ones, base_sha256 and all spans.
 
-    Null and empty texts have no spans; rows that repeat come out as often; other columns are not read; no shuffle.
+    Null and empty texts have no spans; spans of different kinds may overlap and are all listed; rows that repeat come out
+    as often; time and memory grow with the longest text in proportion; an empty table gives an empty one; other columns
+    are not read; no shuffle.
     """
 
     def rows(ids, texts):

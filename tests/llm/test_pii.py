@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -78,6 +80,63 @@ def test_the_trigger_misses_nothing_that_is_rewritten(parts):
         assert pii.spoken_marks(pii.spoken_digits(pii.plain(text))).text == text
 
 
+def disguised(kind, plain, rng):
+    """A random disguise of a plain identifier by the rules of pii's docstrings, written out on its own."""
+    def blanks():
+        return "".join(rng.choices(" \t\n", k=rng.randint(1, 3)))
+
+    def bracketed(word):
+        a, z = rng.choice(["[]", "()", "{}"])
+        inner = rng.choice(["", " "])
+        return rng.choice(["", " "]) + a + inner + word + inner + z + rng.choice(["", " "])
+
+    if kind == "email":
+        local, _, domain = plain.partition("@")
+        dots = [rng.choice([lambda: blanks() + rng.choice(["dot", "DOT"]) + blanks(), lambda: bracketed("dot"), lambda: bracketed(".")])() for _ in range(domain.count("."))]
+        at = rng.choice([blanks() + "at" + blanks(), bracketed("at"), blanks() + "@" + blanks(), "@"])
+        parts = domain.split(".")
+        return local + at + parts[0] + "".join(d + p for d, p in zip(dots, parts[1:], strict=True))
+    words = {v: k for k, v in pii.DIGIT_WORDS.items() if k != "oh"}
+    out, spelled = [], 0
+    if plain[0] == "+":
+        out.append(rng.choice(["plus", "+"]))
+    for part in re.findall("[0-9]+|[.]", plain):
+        if part == ".":
+            out.append(rng.choice([blanks() + "dot" + blanks(), "[dot]", "."]))
+            continue
+        for d in part:
+            glue = "" if not out or out[-1] == "plus" or out[-1][-1] in ".]+" or out[-1][-1].isspace() else rng.choice([" ", "  ", "\t", " - ", ", "])
+            if rng.random() < 0.6 or not spelled:
+                out.append(glue + words[d])
+                spelled += 1
+            else:
+                out.append(glue + d)
+    return re.sub("^plus(?=[a-z0-9])", "plus ", "".join(out))
+
+
+def test_random_disguises_are_found_where_they_stand():
+    rng = random.Random(8)
+    plains = {"email": ["ann@mail.example.com", "j-d+x@host.org"], "ip": ["192.168.10.1", "8.8.4.4"], "phone": ["+14155551234", "+442071838750"], "card": ["4111111111111111", "5500005555555559"]}
+    for _ in range(1500):
+        kind = rng.choice(list(plains))
+        plain = rng.choice(plains[kind])
+        hidden = disguised(kind, plain, rng)
+        before, after = rng.choice(["", "see: ", "é, so; ", "he said: "]), rng.choice(["", "; end", "! and on", "\n\n! x"])
+        spans = pii.find(before + hidden + after)[1]
+        found = [(a, z) for k, a, z in spans if pii.KINDS[k] == kind]
+        assert (len(before), len(before + hidden.rstrip())) in found, (kind, before + hidden + after, spans)
+
+
+@pytest.mark.parametrize("unit", ["a.", "a dot ", "one two ", "1.", "one 4 one 5 five, ", "9", "a@", "x at ", "[at] ", "( ( ", "+1 (", "1.2.3.4 dot ", "<\t\t", "dot at ", "a@b.c d@e dot f ", "plus "])
+@pytest.mark.parametrize("tail", [" dot x", " one.one"])
+def test_time_grows_with_the_text(unit, tail):
+    """Texts of 300 KB that make patterns with nested repeats go back and forth."""
+    text = unit * (300_000 // len(unit)) + tail
+    began = time.perf_counter()
+    pii.find(text)
+    assert time.perf_counter() - began < 5  # some 0.3 s on an idle machine; a quadratic pass takes minutes
+
+
 def test_query(docs):
     rows = pii.find_all(docs).collect()
     assert len(rows) == docs.count()
