@@ -20,8 +20,15 @@ from pyspark.sql import functions as F
 from .common import map_texts
 from .quality_rules import STOP_WORDS
 
-ATTRIBUTES = r"""[^<>"']*(?:(?:"[^"]*"|'[^']*')[^<>"']*)*"""
-TOKEN = re.compile(rf"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)({ATTRIBUTES})>|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)(?:>|(?=<)|\Z)|[!?][^>]*>)", re.S)
+ATTRIBUTES = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
+COMMENT = r"<(?:!--.*?(?:-->|\Z)"
+REST = r"(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)(?:>|(?=<)|\Z)|[!?][^>]*+>)"
+#: A comment, a tag whose quoted values may hold anything, a tag cut short, or a declaration.
+TOKEN = re.compile(rf"{COMMENT}|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({ATTRIBUTES})>|{REST}", re.S)
+#: The same where quotes mean nothing.
+LOOSE_TOKEN = re.compile(rf"{COMMENT}|(?!)()()()|{REST}", re.S)
+#: Quotes that never end make each tag read the page to its end; from so many tags cut short on, quotes of a page mean nothing.
+CUT_SHORT = 100
 #: Elements whose content is never text of the page; it ends at their own end tag and holds no other tags.
 RAW = frozenset("script style template textarea title iframe svg math select button object canvas video audio noembed noframes xmp noscript datalist".split())
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in RAW}
@@ -32,6 +39,7 @@ NESTING = BLOCKS - frozenset("p hr h1 h2 h3 h4 h5 h6 html body".split())
 STRONG = frozenset("article main nav header footer aside form section div body table".split())
 TEMPLATE = frozenset("head nav aside footer form menu dialog".split())
 CELLS = frozenset("td th".split())
+LISTS = frozenset("ul ol menu".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 #: Words in class, id or role that name template parts.
@@ -70,22 +78,58 @@ def named_part(attributes: str) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", ATTRIBUTE.sub("", attributes), re.I))
 
 
+class Open:
+    """The elements that are open: of each its tag, whether it is out, whether it is in an article, how many lists it is in.
+
+    The places of each tag and of the strong tags are kept beside, so that an end tag finds its start without a search.
+    """
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool, int]] = []
+        self.places: dict[str, list[int]] = {}
+        self.strong: list[int] = []
+
+    def top(self) -> tuple[str, bool, bool, int]:
+        return self.stack[-1] if self.stack else ("", False, False, 0)
+
+    def push(self, tag: str, out: bool, inside: bool) -> None:
+        at = len(self.stack)
+        self.places.setdefault(tag, []).append(at)
+        if tag in STRONG:
+            self.strong.append(at)
+        self.stack.append((tag, out, inside, self.top()[3] + (tag in LISTS)))
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            tag = self.stack.pop()[0]
+            self.places[tag].pop()
+            if tag in STRONG:
+                self.strong.pop()
+
+    def end(self, tag: str) -> None:
+        """Closes the last element of a tag and what is open in it; ends of other than strong elements do not reach beyond a strong one."""
+        places = self.places.get(tag)
+        if places and (tag in STRONG or not self.strong or places[-1] > self.strong[-1]):
+            self.cut(places[-1])
+
+
 def blocks(page: str) -> list[Block]:
-    """The page's blocks that have text, in order."""
+    """The page's blocks that have text, in order. Time grows with the page, however deep its elements nest."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, out, inside an article
+    now = Open()
     pieces: list[str] = []
-    linked = at = 0
+    linked = at = short = 0
     link = False
     tag = ""
-    in_list = 0
+    token = TOKEN
 
     def close() -> None:
         nonlocal linked, tag
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                found.append(Block(text, linked, bool(stack) and stack[-1][2], bool(stack) and stack[-1][1], tag, in_list > 0))
+                _, out, inside, lists = now.top()
+                found.append(Block(text, linked, inside, out, tag, lists > 0))
             pieces.clear()
         linked = 0
         tag = ""
@@ -99,7 +143,7 @@ def blocks(page: str) -> list[Block]:
 
     end = len(page)
     while at < end:
-        m = TOKEN.search(page, at)
+        m = token.search(page, at)
         if m is None:
             say(page[at:])
             break
@@ -108,6 +152,10 @@ def blocks(page: str) -> list[Block]:
         name = m[2] or m[5]
         if name is None:
             continue
+        if m[5]:
+            short += 1
+            if short > CUT_SHORT:
+                token = LOOSE_TOKEN
         name = name.lower()
         closing = bool(m[1] or m[4])
         if name in RAW:
@@ -123,24 +171,18 @@ def blocks(page: str) -> list[Block]:
             close()
             link = False
             if name == "body" and not closing:
-                stack = [x for x in stack if x[0] != "head"]
+                now.end("head")
             if name in NESTING:
                 if closing:
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] == name:
-                            del stack[i:]
-                            break
-                        if stack[i][0] in STRONG and name not in STRONG:
-                            break
+                    now.end(name)
                 else:
-                    if name in ("li", "dt", "dd", "tr") and stack and stack[-1][0] == name:
-                        stack.pop()
-                    out, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                    if name in ("li", "dt", "dd", "tr") and now.top()[0] == name:
+                        now.cut(len(now.stack) - 1)
+                    _, out, inside, _ = now.top()
                     attributes = m[3] or m[6] or ""
                     main = name in ("article", "main") or "role" in attributes and re.search(r"role\s*=\s*[\"']?main\b", attributes) is not None
                     out = out or name in TEMPLATE or name == "header" and not inside or bool(attributes) and named_part(attributes)
-                    stack.append((name, out, (inside or main) and not out))
-                in_list = sum(x[0] in ("ul", "ol", "menu") for x in stack)
+                    now.push(name, out, (inside or main) and not out)
             if not closing:
                 tag = name
     close()
@@ -202,7 +244,9 @@ def extract_all(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     """page_id, url, text and n_chars, one row for each row of pages; no shuffle.
 
     Null or empty pages and pages without main text give an empty text; text without any tags is one block; tags that are
-    never closed end with the page. Rows that repeat come out as often; an empty table gives an empty one.
+    never closed end with the page. A block as near to a good neighbour as to a bad one is good. Time and memory grow with
+    the longest page in proportion, however deep it nests. Rows that repeat come out as often; an empty table gives an
+    empty one.
     """
 
     def rows(keys, pages):

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -48,6 +49,68 @@ def test_neighbours_decide():
     assert html_text.second_pass(found, labels) == [1, 1, 1, 1, 0, 0]  # the page's edge is nearer to the last
 
 
+def brute_labels(found):
+    """Both passes by their definition: rules a block at a time, then a search outward from each open block."""
+    first = []
+    for b in found:
+        words = b.text.split()
+        share = sum(w.lower().strip(".,;:!?") in html_text.STOP_WORDS for w in words) / len(words)
+        short, long = len(b.text) < 70, len(b.text) >= 160
+        good = share >= 0.15 or share >= 0.08 and long
+        bad = share < 0.08 and long
+        if b.out or b.linked > 0.33 * len(b.text) and not (b.inside and not b.listed):
+            first.append(0)
+        elif b.linked > 0.33 * len(b.text) or short or b.heading:
+            first.append(-1)
+        else:
+            first.append(1 if good else 0 if bad and not b.inside else -1)
+    out = []
+    for i, b in enumerate(found):
+        side = [j for j, x in enumerate(found) if x.inside == b.inside]
+        edge = int(b.inside)
+        at = side.index(i)
+        before = next(((n, first[side[at - n]]) for n in range(1, at + 1) if first[side[at - n]] >= 0), (at + 1, edge))
+        after = next(((n, first[side[at + n]]) for n in range(1, len(side) - at) if first[side[at + n]] >= 0), (len(side) - at, edge))
+        if first[i] >= 0:
+            out.append(first[i])
+        elif before[1] == after[1] or b.heading:
+            out.append(after[1])
+        else:
+            out.append(1 if before[0] == after[0] else min(before, after)[1])
+    return first, out
+
+
+BLOCK = st.builds(
+    lambda text, link, inside, out, tag, listed: html_text.Block(text, int(link * len(text)), inside and not out, out, tag, listed),
+    st.sampled_from([A, B, A + " " + B, "short", "the", "xx yy " * 20, "xx yy " * 40, "the xx yy zz vv uu tt ss rr qq pp " * 3, "of xx yy zz vv uu tt ss rr qq pp oo " * 6]),
+    st.sampled_from([0, 0, 0.2, 0.5, 1]), st.booleans(), st.sampled_from([False, False, False, True]), st.sampled_from(["p", "h2", "div"]), st.booleans(),
+)
+
+
+@given(st.lists(BLOCK, max_size=14))
+@settings(max_examples=400)
+def test_passes_equal_brute_force(found):
+    first, second = brute_labels(found)
+    assert html_text.first_pass(found) == first and html_text.second_pass(found, first) == second
+
+
+def test_both_passes_decide(spark, sf):
+    """Of the blocks inside the articles of real pages the rules decide some, and the neighbours others."""
+    by_rule = by_neighbour = 0
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        found = [b for b in html_text.blocks(r.html) if not b.out]
+        labels = html_text.first_pass(found)
+        by_rule, by_neighbour = by_rule + sum(x != -1 for x in labels), by_neighbour + sum(x == -1 for x in labels)
+    assert by_rule > 0.3 * by_neighbour and by_neighbour > 0.3 * by_rule
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000, "<div><ul>" * 50_000 + "</li>" * 50_000, "<blockquote>" * 50_000 + "</ul>" * 50_000, '<a x="' * 50_000, "<p x='>" * 50_000, "<li>" * 100_000, "<ul><li><div>" * 30_000 + "</ul>" * 30_000, "<body><head>" * 40_000, "<" * 300_000, "<!-- " * 50_000, "<script>" * 50_000])
+def test_time_grows_with_the_page(page):
+    began = time.perf_counter()
+    extract(page + A)
+    assert time.perf_counter() - began < 8  # a second or so on an idle machine
+
+
 @pytest.mark.parametrize("page", ["", "<", "<>", "</", "<a", "<p", "text only", "<!--", "<script>", "<article>", '<p title="<b', "&#0;&bogus;", "<p>" * 3000, "<div>" * 3000 + A, "</div>" * 500])
 def test_odd_pages(page):
     extract(page)
