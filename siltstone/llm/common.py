@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import warnings
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -71,14 +72,27 @@ def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint in the session's spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", "") and not sc.getCheckpointDir():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines see: spark.checkpoint.dir, or what the context was given. Only where both are unset, as in tests, a folder of our own, with a warning off a local master."""
+    sc = spark.sparkContext
+    if not (named := spark.conf.get("spark.checkpoint.dir", "")) and not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            warnings.warn("spark.checkpoint.dir is not set: checkpoints lie in a folder that other machines do not see", stacklevel=2)
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-"))
+    return (named or sc.getCheckpointDir()).rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def free_name(stem: str, taken: Iterable[str]) -> str:
     """A column name that clashes with none of `taken`, whatever their case."""
     used = {x.lower() for x in taken}

@@ -16,6 +16,7 @@ nothing is shuffled but partial sums.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ LABELLED_ROWS = 5_000
 #: Words a document's evidence counts for at most: longer ones are averaged, so that mixed documents keep soft membership.
 EVIDENCE = 20.0
 STEPS, TOLERANCE = 60, 1e-7
+#: The classifier is a table of so many domains by BUCKETS in the plan.
+DOMAINS = 64
 
 
 def words(text: Column) -> Column:
@@ -77,6 +80,8 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     table = {d: [0.5] * BUCKETS for d in domains}
     for r in counts:
         table[r.d][r.b] += r.n
+    if len(domains) > DOMAINS:
+        raise ValueError(f"more than {DOMAINS} domains")
     totals = {d: sum(table[d]) for d in domains}
     rows = sum(seen.values())
     return Classifier(domains, [seen[d] / rows for d in domains], [[math.log(x / totals[d]) for x in table[d]] for d in domains])
@@ -112,7 +117,7 @@ def solve(members: DataFrame, domains: list[str], targets: dict[str, float], rai
     total = sum(start)
     wanted = [max(0.0, targets.get(d, 0.0)) for d in domains]
     if total <= 0 or sum(wanted) <= 0:
-        return [], start, wanted
+        return [], [], []
     share = [x / total for x in start]
     wanted = [x / sum(wanted) for x in wanted]
     if raise_only:
@@ -136,13 +141,16 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
     """doc_id, source, n_tokens, a probability p_<domain> for each domain, domain (the likeliest) and rate, one row for each row of docs.
 
     Null and empty texts have no tokens and the priors as posterior; their rate follows from it and weighs nothing. Rows
-    that repeat have equal rates. Without labelled rows there are no domains and every rate is 1.
+    that repeat have equal rates; of domains with equal posteriors the first by name is the likeliest. Without labelled rows
+    there are no domains and every rate is 1; an empty table gives an empty one. Where no rates reach the targets, a warning
+    says by how much; the rates are then the nearest by least squares.
     """
     model = fit(docs, labelled, id_col, text_col, domain_col)
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("w"))
     p = model.posterior(F.col("w")) if model.domains else F.array().cast("array<double>")
     members = checkpointed(found.select("doc_id", "source", F.size("w").cast("bigint").alias("n"), p.alias("p")))
-    history, _, _ = solve(members, model.domains, targets)
+    history, reached, wanted = solve(members, model.domains, targets)
+    told(reached, wanted)
     names = F.array(*map(F.lit, model.domains)) if model.domains else F.array().cast("array<string>")
     likeliest = F.get(names, (F.array_position("p", F.array_max("p")) - 1).cast("int"))
     return members.select("doc_id", "source", F.col("n").alias("n_tokens"), *(F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(model.domains)), likeliest.alias("domain"), rate(F.col("p"), history).alias("rate"))
@@ -157,15 +165,26 @@ def by_source(mixed: DataFrame) -> DataFrame:
 def drawn(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", seed: int = 42) -> DataFrame:
     """The rows of docs, each as often as its rate says: the whole part, and once more with the chance of the rest, drawn by a hash of the id.
 
-    Rates are 1 or more, so mixing loses no document; a domain without a target keeps its present share.
+    Rates are 1 or more, so mixing loses no document; a domain without a target keeps its present share. Copies of a row
+    follow each other. Rows without an id are drawn alike; null and empty texts have the priors as posterior; without
+    labelled rows, and for an empty table, docs come back as they are.
     """
     model = fit(docs, labelled, id_col, text_col, domain_col)
     if not model.domains:
         return docs
-    p = model.posterior(words(F.col(text_col)))
-    members = checkpointed(docs.select(words(F.col(text_col)).alias("w")).select(F.size("w").cast("bigint").alias("n"), model.posterior(F.col("w")).alias("p")))
-    history, _, _ = solve(members, model.domains, targets, raise_only=True)
+    found = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("i"), words(F.col(text_col)).alias("w"))
+    # written out with the rows, so that no posterior is worked out again for the rates
+    members = checkpointed(found.select("row", "i", F.size("w").cast("bigint").alias("n"), model.posterior(F.col("w")).alias("p")))
+    history, reached, wanted = solve(members, model.domains, targets, raise_only=True)
+    told(reached, wanted)
     chance = F.pmod(F.xxhash64(F.col("i"), F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     copies = F.floor(rate(F.col("p"), history, 1.0) + chance).cast("int")
     repeated = F.explode(F.array_repeat(F.lit(True), copies))
-    return docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("i"), p.alias("p")).select("row", repeated.alias("again")).select("row.*")
+    return members.select("row", repeated.alias("again")).select("row.*")
+
+
+def told(reached: list[float], wanted: list[float]) -> None:
+    """Warns where no rates, or not STEPS steps, reach what is wanted."""
+    gap = max((abs(a - b) for a, b in zip(reached, wanted, strict=True)), default=0.0)
+    if gap > 100 * TOLERANCE * max(1.0, sum(wanted)):
+        warnings.warn(f"the mix misses its targets by up to {gap:.3g} of the tokens there are", stacklevel=3)

@@ -15,13 +15,13 @@ alternating large-star and small-star rounds on the forest's edges.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -167,22 +167,25 @@ def forest(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, group_row
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root, the smallest node that edges (a, b) reach, for each node of an edge. Alternating large-star and small-star rounds."""
+    """node and root, the smallest node that edges (a, b) reach, for each node of an edge. Alternating large-star and small-star rounds.
+
+    What is joined is written out first, so that the joins deal out both their sides themselves and can split a star's centre.
+    """
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
-    last = None
-    while True:
+    state = None
+    while state is None or state[1] != state[0]:
+        if edges.isEmpty():
+            break
         # large star: a node's larger neighbours hang on its smallest one (or itself)
         both = edges.union(edges.select(F.col("v"), F.col("u")).toDF("u", "v"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        low = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = checkpointed(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct())
         # small star: a node and its smaller neighbours hang on the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         hung = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = checkpointed(hung.union(low.select("u", F.col("m").alias("v"))).distinct())
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(2**31))).alias("s")).first()
-        if state == last:
-            break
-        last = state
+        now = tuple(edges.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(2**31))).alias("s")).first())
+        state = (None if state is None else state[1]), now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
@@ -196,19 +199,24 @@ def enough_blocks(radius: int, blocks: int | None) -> int:
 
 
 def assigned(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle_words: int = SHINGLE_WORDS, blocks: int | None = None) -> DataFrame:
-    """doc_id, fp, root (the smallest fingerprint of the component) and component_id."""
+    """doc_id, node (its fingerprint), root (the smallest fingerprint of the component) and component_id."""
     blocks = enough_blocks(radius, blocks)
-    own = checkpointed(fingerprints(docs, id_col, text_col, shingle_words))
-    distinct = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = checkpointed(components(forest(distinct.select("fp"), radius, blocks)))
-    rooted = roots.join(distinct, roots.node == distinct.fp).select("root", "fp", "least")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked_to = rooted.join(named, "root").select("fp", "root", "component_id")
-    # a fingerprint without links is its own component
+    own = checkpointed(fingerprints(docs, id_col, text_col, shingle_words).withColumnRenamed("fp", "node"))
+    return rooted(own, lambda distinct: components(forest(distinct.withColumnRenamed("node", "fp"), radius, blocks)))
+
+
+def rooted(own: DataFrame, roots_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """doc_id, node, root and component_id from rows (doc_id, node) and a function from distinct nodes to (node, root) of the linked ones."""
+    distinct = checkpointed(own.groupBy("node").agg(F.min("doc_id").alias("least")))
+    roots = checkpointed(roots_of(distinct.select("node")))
+    linked_to = checkpointed(roots.join(distinct, "node").select("root", "node", "least"))
+    named = checkpointed(linked_to.groupBy("root").agg(F.min("least").alias("component_id")))
+    # a node without links is its own component
     alone = F.col("root").isNull()
-    by_fp = distinct.join(linked_to, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(alone, F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    # written out, so that the join deals out both its sides itself and can split the rows of a hot fingerprint
-    return own.join(checkpointed(by_fp), "fp").select("doc_id", "fp", "root", "component_id")
+    by_node = distinct.join(linked_to.join(named, "root").select("node", "root", "component_id"), "node", "left")
+    by_node = by_node.select("node", F.coalesce("root", "node").alias("root"), F.when(alone, F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    # written out, so that the join deals out both its sides itself and can split the rows of a hot node
+    return own.join(checkpointed(by_node), "node").select("doc_id", "node", "root", "component_id")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS, blocks: int | None = None) -> DataFrame:
@@ -218,24 +226,33 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     their component. A component without any non-null doc_id has a null component_id. Other columns are not read;
     an empty table gives an empty one.
     """
-    return assigned(docs, id_col, text_col, radius, shingle_words, blocks).select("doc_id", "fp", "component_id")
+    return assigned(docs, id_col, text_col, radius, shingle_words, blocks).select("doc_id", F.col("node").alias("fp"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS, blocks: int | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS, blocks: int | None = None, similarity: float | None = None) -> DataFrame:
     """The rows of docs with the smallest id of their group, with docs' columns.
 
-    Of rows that repeat that id the one with the smallest text stays. A group that has no ids keeps one row, of its
-    smallest fingerprint; rows without an id leave groups that have ids.
+    Groups are those of groups(), or, where a similarity is given, those of similar.assigned(). Of rows that repeat that id
+    the one with the smallest text stays. A group that has no ids keeps one row, of its smallest node; rows without an id
+    leave groups that have ids. An empty table gives an empty one.
     """
-    found = checkpointed(assigned(docs, id_col, text_col, radius, shingle_words, blocks))
+    from . import similar
+
+    if similarity is None:
+        found = assigned(docs, id_col, text_col, radius, shingle_words, blocks)
+        node_of = lambda text: fingerprint(text, shingle_words)
+    else:
+        found = similar.assigned(docs, id_col, text_col, similarity, shingle_words, radius)
+        node_of = lambda text: similar.node(similar.shingles(text, shingle_words))
+    found = checkpointed(found)
     kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     # ids are narrow: a hash table of one partition's ids beside a stream of texts, no sort of texts
     rows = docs.join(kept.hint("shuffle_hash"), docs[id_col] == kept["doc_id"], "left_semi")
-    place = free_name("_place", docs.columns)
 
     def first(some: DataFrame, key: str) -> DataFrame:
-        order = F.row_number().over(Window.partitionBy(key).orderBy(F.asc_nulls_first(text_col)))
-        return some.withColumn(place, order).filter(F.col(place) == 1).select(*docs.columns)
+        """Of rows of a key the one with the smallest text; each task hands on one row a key."""
+        order = F.struct(F.col(text_col).isNotNull(), F.col(text_col))
+        return some.select(F.col(key).alias("key"), F.struct(*docs.columns).alias("row"), order.alias("order")).groupBy("key").agg(F.min_by("row", "order").alias("row")).select("row.*")
 
     repeated = checkpointed(docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
     if not repeated.isEmpty():
@@ -243,9 +260,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
         rows = rows.join(repeated, several, "left_anti").union(first(rows.join(repeated, several, "left_semi"), id_col))
     nameless = docs.filter(F.col(id_col).isNull())
     if not nameless.select(id_col).isEmpty():
-        mark = free_name("_fp", docs.columns)
+        mark = free_name("_node", docs.columns)
         schema = StructType([*docs.schema.fields, StructField(mark, LongType())])
-        marked = map_rows(nameless, text_col, lambda texts: {mark: pa.array(np.array([fingerprint(t or "", shingle_words) for t in texts], dtype=np.uint64).astype(np.int64))}, schema)
-        roots = found.filter(F.col("component_id").isNull() & (F.col("fp") == F.col("root"))).select(F.col("fp").alias("root")).distinct()
+        marked = map_rows(nameless, text_col, lambda texts: {mark: pa.array(np.array([node_of(t or "") for t in texts], dtype=np.uint64).astype(np.int64))}, schema)
+        roots = checkpointed(found.filter(F.col("component_id").isNull() & (F.col("node") == F.col("root"))).select(F.col("root")).distinct())
         rows = rows.union(first(marked.join(roots, marked[mark] == roots["root"], "left_semi"), mark))
     return rows

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from siltstone.llm import simhash, syncmers
+from siltstone.llm import similar, simhash, syncmers
 
 
 def words(text):
@@ -245,3 +245,89 @@ def test_a_hot_id_is_split(spark, same):
         assert rows.count() == 3000 and (not same or rows.agg(F.min("near_next")).first()[0] == 1.0)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
+# Similar sets ---------------------------------------------------------------
+
+
+def edited(words, edits, rng):
+    words = list(words)
+    for _ in range(edits):
+        at = rng.randrange(len(words))
+        words[at] = f"w{rng.randrange(10**6)}"
+    return words
+
+
+def test_every_pair_of_similar_sets_has_a_common_key():
+    rng = random.Random(12)
+    missed = found = 0
+    for _ in range(1500):
+        n = rng.choice([5, 8, 12, 20, 50, 120, 400])
+        a = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+        b = edited(a, rng.randint(1, max(1, n // 40)), rng)[rng.randint(0, n // 30) :]
+        x, y = (similar.shingles(" ".join(w)) for w in (a, b))
+        shared = len(np.intersect1d(x, y))
+        if len(x) and shared >= 0.8 * (len(x) + len(y) - shared):
+            found += 1
+            missed += not len(np.intersect1d(similar.keys(x, 0.8), similar.keys(y, 0.8)))
+    assert found > 300 and missed == 0
+
+
+def test_classes_hold_similar_sizes():
+    for a in range(1, 400):
+        for b in range(a, int(a / 0.8) + 1):
+            x, y = similar.classes(a, 0.8), similar.classes(b, 0.8)
+            assert x[0] <= y[0] <= x[0] + 1 and x[1] >= a and y[1] >= b and (x[0] == y[0]) == (x[1] == y[1]) and (y[0] == x[0] or x[2] == y[1])
+
+
+def brute_similar(texts, similarity=0.8):
+    label = {i: i for i in texts}
+    sets = {i: set(similar.shingles(t).tolist()) for i, t in texts.items()}
+    links = [(a, b) for a in texts for b in texts if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9]
+    while any(label[a] != label[b] for a, b in links):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+def test_similar_groups_equal_all_pairs(spark):
+    """Clusters around a text, chains of which the ends are not alike, a passage that most texts share, copies, short and empty texts."""
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = {}
+    for c in range(6):
+        base = [f"b{c}x{i}" for i in range(rng.choice([30, 80, 200]))]
+        for _ in range(12):
+            texts[len(texts)] = " ".join(edited(base, rng.randint(0, len(base) // 25), rng))
+        chain = base
+        for _ in range(8):
+            chain = edited(chain, max(1, len(base) // 50), rng)
+            texts[len(texts)] = " ".join(chain)
+    for i in range(40):
+        texts[len(texts)] = passage + " " + " ".join(f"o{i}x{j}" for j in range(rng.choice([3, 10, 40])))
+    for t in ("", " ", "one", "one two", "ONE two", passage, passage.upper()):
+        texts[len(texts)] = t
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in similar.assigned(df, "doc_id", "text", 0.8).collect()}
+    assert got == brute_similar(texts)
+    assert sorted(r.doc_id for r in simhash.keep_one(df, shingle_words=5, similarity=0.8).collect()) == sorted(set(got.values()))
+
+
+def test_a_large_cluster_meets_in_stars(spark, monkeypatch):
+    """Of a key that all texts have no pairs but those with one text come out."""
+    base = [f"w{i}" for i in range(300)]
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, " ".join(edited(base, 1, rng))) for i in range(400)], "doc_id bigint, text string").repartition(6)
+    monkeypatch.setattr(similar, "HELD", 1000)
+    met = similar.meetings(df, "text", 0.8, 5)
+    by_key = met.groupBy("key").count()
+    assert max(r["count"] for r in by_key.collect()) < 2 * 400
+    assert simhash.keep_one(df, shingle_words=5, similarity=0.8).count() == 1
+
+
+def test_a_star_with_many_leaves(spark):
+    """The centre of a star is split among tasks, and nothing of it is lost."""
+    edges = spark.range(1, 5001).selectExpr("0L a", "id b")
+    found = simhash.components(edges).collect()
+    assert len(found) == 5001 and {r.root for r in found} == {0}
+    assert simhash.components(edges.limit(0)).count() == 0
