@@ -5,6 +5,7 @@ from __future__ import annotations
 import threading
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
@@ -58,9 +59,19 @@ class Engine:
             session.conf.set(key, value)
         return session
 
-    def plan(self, session: SparkSession, snapshot: Snapshot, sql: str) -> tuple[DataFrame, list[dict]]:
-        """The query over as few files as its filters or its limit to the newest rows allow, and those files."""
-        snapshot.frame(spark=session).createOrReplaceTempView(TABLE)
+    def plan(self, session: SparkSession, snapshot: Snapshot, sql: str, fresh: DataFrame | None = None) -> tuple[DataFrame, list[dict]]:
+        """The query over as few files as its filters or its limit to the newest rows allow, and those files. Rows that are in no file yet take part with the columns they have."""
+        if fresh is not None:
+            fresh = session_frame(session, fresh)
+            schema = schemas.union([snapshot.schema, fresh.schema])
+
+        def view(files: list[dict] | None = None) -> None:
+            rows = snapshot.frame(files, session)
+            if fresh is not None:
+                rows = rows.unionByName(fresh, allowMissingColumns=True).select(*(f"`{n}`" for n in schema.names))
+            rows.createOrReplaceTempView(TABLE)
+
+        view()
         df = session.sql(sql)
         optimised = df._jdf.queryExecution().optimizedPlan()
         wanted = scans(optimised)
@@ -68,10 +79,10 @@ class Engine:
         if wanted:
             keep = {f["path"] for predicates in wanted for f in prune.prune(files, predicates)}
             files = [f for f in files if f["path"] in keep]
-        if len(wanted) == 1 and not wanted[0] and (limit := newest_limit(optimised)) is not None:
+        if fresh is None and len(wanted) == 1 and not wanted[0] and (limit := newest_limit(optimised)) is not None:
             files = prune.newest(files, limit)
         if len(files) < len(snapshot.files):
-            snapshot.frame(files, session).createOrReplaceTempView(TABLE)
+            view(files)
             df = session.sql(sql)
         return df, files
 
@@ -99,8 +110,8 @@ class Engine:
                 peak, spilled = max(peak, data.peakExecutionMemory()), spilled + data.memoryBytesSpilled() + data.diskBytesSpilled()
         return {"memory_peak_bytes": peak, "spill_bytes": spilled}
 
-    def query(self, store: Store, sql: str, timeout_s: float | None = None, max_rows: int | None = None) -> Result:
-        """The query's whole result, or a QueryError; options only lower the limits."""
+    def query(self, store: Store, sql: str, timeout_s: float | None = None, max_rows: int | None = None, fresh: Callable[[int], DataFrame | None] | None = None) -> Result:
+        """The query's whole result, or a QueryError; options only lower the limits. `fresh` gives the rows from a sequence on that are not published."""
         started = time.monotonic()
         limit = min(self.limits.timeout_s, self.limits.timeout_s if timeout_s is None else timeout_s)
         cap = min(self.limits.max_rows, self.limits.max_rows if max_rows is None else max_rows)
@@ -127,12 +138,13 @@ class Engine:
             timer.start()
             try:
                 snapshot = store.pin()
+                added = fresh(snapshot.next) if fresh is not None else None
             except Exception as e:
                 raise QueryError("storage", "the store cannot be read") from e
             with snapshot:
                 session = self.session()
                 try:
-                    df, files = self.plan(session, snapshot, sql)
+                    df, files = self.plan(session, snapshot, sql, added)
                 except AnalysisException as e:
                     raise QueryError("invalid_sql", "the query cannot be planned") from e
                 in_time()
@@ -165,6 +177,11 @@ class Engine:
             self.permits.release()
 
 
+def session_frame(session: SparkSession, df: DataFrame) -> DataFrame:
+    """The same rows as a frame of another session of this application."""
+    return DataFrame(session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, df._jdf.queryExecution().analyzed()), session)
+
+
 def lineage(df: DataFrame, schema: T.StructType) -> tuple[list[str | None], list[bool]]:
     """For each result column the type name of the fixed column it is (under whatever name), else None; and whether it can be null."""
     plan = df._jdf.queryExecution().analyzed()

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import project
 from ..sources import frames
-from ..sources.datasource import FrameSource
+from ..sources.datasource import SCHEMA, FrameSource
 from ..sources.store import Store
 
 
@@ -53,9 +53,30 @@ class Ingest:
 
     def read(self, end: int | None = None) -> DataFrame:
         """The frames that are not published yet, up to `end`, as a batch."""
-        reader = self.spark.read.format("siltstone_frames").option("path", self.directory).option("start", self.store.next)
+        return self.read_from(self.store.next, end)
+
+    def read_from(self, start: int, end: int | None = None) -> DataFrame:
+        reader = self.spark.read.format("siltstone_frames").option("path", self.directory).option("start", start)
         return (reader if end is None else reader.option("end", end)).load()
 
+    def fresh(self, start: int) -> DataFrame | None:
+        """The rows of the frames from `start` on that are not published, None if there are none.
+
+        A generation of them at most is taken as it is now, which a publication meanwhile does not change; more, which the
+        consumer is about to publish, are left to Spark to read.
+        """
+        if frames.next_sequence(self.directory) <= start:
+            return None
+        end = frames.generation_end(self.directory, start, self.max_bytes)
+        if end < frames.next_sequence(self.directory):
+            batch = self.read_from(start)
+        else:
+            found = list(frames.read_from(self.directory, start, end))
+            if not found or found[0].sequence != start:
+                raise Behind("frames were given up meanwhile")
+            batch = self.spark.createDataFrame([(f.sequence, f.tenant, f.received, f.signal, f.payload) for f in found], SCHEMA)
+        return project.project(batch, project.discover(batch, self.max_columns, self.max_depth), self.max_depth)
+
     def run_once(self) -> None:
         """Publishes what there is, generation by generation."""
         while (end := frames.generation_end(self.directory, self.store.next, self.max_bytes)) > self.store.next:

@@ -76,7 +76,7 @@ class Service:
         except (ValueError, KeyError, TypeError, AttributeError) as e:
             raise Failure("invalid_request", "not a query request") from e
         try:
-            result = self.engine.query(self.stores[tenant], sql, None if timeout is None else timeout / 1000, rows)
+            result = self.engine.query(self.stores[tenant], sql, None if timeout is None else timeout / 1000, rows, self.ingests[tenant].fresh)
             return encode.encode(result.schema, result.rows, result.shown, result.nullable, result.metrics, self.response_bytes)
         except QueryError as e:
             raise Failure(e.code, str(e)) from e

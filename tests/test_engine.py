@@ -255,13 +255,23 @@ def test_http(server):
     status, body, _ = call(f"{url}/v1/logs", request(Record(2**64 - 1)))
     assert status == 400 and b"too far in the future" in body
     assert call(f"{url}/v1/logs")[0] == 405 and call(f"{url}/v1/traces", b"")[0] == 404
-    service.publish_all()
 
     def sql(text, token="secret-a", **options):
         status, body, _ = call(f"{url}/v1/query", json.dumps({"sql": text} | options).encode(), token, "application/json")
         return status, json.loads(body)
 
-    status, got = sql("SELECT body FROM logs ORDER BY body")
+    # acknowledged rows are visible before they are published, and not twice after
+    assert not service.stores["tenant-a"].commits
+    assert [r["body"] for r in sql("SELECT body FROM logs ORDER BY body")[1]["rows"]] == ["new", "old"]
+    service.publish_all()
+    assert call(f"{url}/v1/logs", request(Record(10**18, body="third", attributes=Pairs([("late", 7)]))))[0] == 200
+    got = sql(f"SELECT body, log_late_i64 AS late FROM logs WHERE event_time_unix_nano <= {10**18} ORDER BY body")[1]
+    assert [(r["body"], r["late"]) for r in got["rows"]] == [("old", None), ("third", "7")] and got["metrics"]["files_pruned"] >= 1
+    assert sql("SELECT body FROM logs ORDER BY event_time_unix_nano DESC, wal_sequence DESC LIMIT 2")[1]["rows"] == [{"body": "new"}, {"body": "third"}]
+    service.publish_all()
+    assert [r["body"] for r in sql("SELECT body FROM logs WHERE body <> 'third' ORDER BY body")[1]["rows"]] == ["new", "old"]
+    assert sql("SELECT count(*) AS n FROM logs")[1]["rows"] == [{"n": "3"}]
+    status, got = sql("SELECT body FROM logs WHERE body <> 'third' ORDER BY body")
     assert status == 200 and [r["body"] for r in got["rows"]] == ["new", "old"]
     assert [r["body"] for r in sql("SELECT body FROM logs", "secret-b")[1]["rows"]] == ["b"]
     for (text, options), code in {("SELECT nope FROM logs", ()): (400, "invalid_sql"), ("SELECT 1", (("timeout_ms", 0),)): (408, "timeout"), ("SELECT body FROM logs", (("max_rows", 1),)): (422, "row_limit"), ("SELECT 1", (("extra", 1),)): (400, "invalid_request"), ("SELECT parse_json('1') AS v", ()): (422, "unsupported_result_type")}.items():
