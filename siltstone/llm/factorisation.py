@@ -148,8 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted, one row for each row of docs.
 
-    Null and empty texts are scored on their statistics; equal texts have equal scores; an empty table gives an empty one;
-    no other column is read.
+    Null and empty texts are scored on their statistics; equal texts have equal scores; a score of 0.5 predicts 1; rows
+    without an id are not held out; time and memory grow with the longest text in proportion; an empty table gives an empty
+    one; no other column is read.
     """
 
     def rows(ids, texts):

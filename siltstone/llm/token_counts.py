@@ -85,8 +85,10 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, n_tokens and the best path's score in nats, one row for each row of docs; no shuffle.
 
     Null and empty texts have no tokens and score 0; rows that repeat come out as
-    often; an empty table gives an empty one; other columns are not read. `model`
-    is a file that every executor has.
+    often; an empty table gives an empty one; other columns are not read. A long
+    segment takes time in proportion and memory for its last few positions; of
+    equally good paths the tokenizer's own counts. `model` is a file that every
+    executor has.
     """
 
     def rows(ids, texts):
