@@ -133,6 +133,15 @@ def test_publish_pin_restart(spark, store):
         again.pin().scan(["nothing"])
 
 
+def test_rows_lie_newest_first_in_a_file(spark, store):
+    times = [START + (i * 7919) % 1000 for i in range(200)]
+    rows = rows_of(spark, request(*(Record(t, body=str(t)) for t in times))).repartition(3)
+    commit = store.publish(rows, 0, 1)
+    for f in commit["files"]:
+        got = [r[0] for r in spark.read.parquet(f"{store.files.root}/{f['path']}").select("event_time_unix_nano").coalesce(1).collect()]
+        assert got == sorted(got, reverse=True) and len(got) == f["rows"]
+
+
 def test_recovery(spark, store):
     rows = rows_of(spark, request(Record(START, body="a")))
     store.publish(rows, 0, 1)
