@@ -83,9 +83,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Cuts the lineage by a reliable checkpoint in the shared folder.
+
+    The frame is made anew from the checkpoint's rows: as it comes it keeps its plan's size estimate and constraints,
+    which loops of joins multiply until planning takes minutes.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    done = df.checkpoint()._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
 
 
 def deleted(spark: SparkSession, path: str) -> None:

@@ -295,22 +295,21 @@ def test_similar_groups_equal_all_pairs(spark):
     rng = random.Random(3)
     passage = " ".join(f"p{i}" for i in range(60))
     texts = {}
-    for c in range(6):
-        base = [f"b{c}x{i}" for i in range(rng.choice([30, 80, 200]))]
-        for _ in range(12):
+    for c, size in enumerate((30, 80, 200)):
+        base = [f"b{c}x{i}" for i in range(size)]
+        for _ in range(10):
             texts[len(texts)] = " ".join(edited(base, rng.randint(0, len(base) // 25), rng))
         chain = base
-        for _ in range(8):
+        for _ in range(6):
             chain = edited(chain, max(1, len(base) // 50), rng)
             texts[len(texts)] = " ".join(chain)
-    for i in range(40):
+    for i in range(20):
         texts[len(texts)] = passage + " " + " ".join(f"o{i}x{j}" for j in range(rng.choice([3, 10, 40])))
     for t in ("", " ", "one", "one two", "ONE two", passage, passage.upper()):
         texts[len(texts)] = t
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
     got = {r.doc_id: r.component_id for r in similar.assigned(df, "doc_id", "text", 0.8).collect()}
     assert got == brute_similar(texts)
-    assert sorted(r.doc_id for r in simhash.keep_one(df, shingle_words=5, similarity=0.8).collect()) == sorted(set(got.values()))
 
 
 def test_a_large_cluster_meets_in_stars(spark, monkeypatch):
