@@ -37,22 +37,29 @@ GROUP_ROWS = 4096
 PIVOTS = np.random.default_rng(20).integers(0, 2**64, size=24, dtype=np.uint64)
 
 
-def fingerprint(text: str, words_per_shingle: int = SHINGLE_WORDS) -> int:
-    """The 64-bit SimHash of the words' shingles, 0 for a text without words."""
+def shingle_hashes(text: str, words_per_shingle: int = SHINGLE_WORDS) -> np.ndarray:
+    """The hashes of the words' shingles, repeats included; a shorter text is one shingle, one without words none."""
     from xxhash import xxh64_intdigest
 
     words = text.encode().lower().split()  # of bytes: only A-Z and ASCII white space count
     n = len(words)
-    if n == 0:
-        return 0
     if n <= words_per_shingle:
-        return xxh64_intdigest(b" ".join(words), SEED)
+        return np.array([xxh64_intdigest(b" ".join(words), SEED)] if words else [], dtype=np.uint64)
     flat = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=n) + 1)
     starts = np.concatenate(([0], ends[:-1]))[: n - words_per_shingle + 1].tolist()
     stops = (ends[words_per_shingle - 1 :] - 1).tolist()
-    count = len(starts)
-    hashes = np.fromiter((xxh64_intdigest(flat[a:b], SEED) for a, b in zip(starts, stops, strict=True)), dtype=np.uint64, count=count)
+    return np.fromiter((xxh64_intdigest(flat[a:b], SEED) for a, b in zip(starts, stops, strict=True)), dtype=np.uint64, count=len(starts))
+
+
+def fingerprint(text: str, words_per_shingle: int = SHINGLE_WORDS) -> int:
+    """The 64-bit SimHash of the words' shingles, 0 for a text without words."""
+    return fingerprint_of(shingle_hashes(text, words_per_shingle))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; 0 for none."""
+    count = len(hashes)
     votes = np.zeros(64, dtype=np.int64)
     for at in range(0, count, 65_536):
         bits = np.unpackbits(hashes[at : at + 65_536].astype(">u8").view(np.uint8)).reshape(-1, 64)
