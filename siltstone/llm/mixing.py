@@ -173,9 +173,9 @@ def drawn(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_co
     if not model.domains:
         return docs
     found = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("i"), words(F.col(text_col)).alias("w"))
-    # written out with the rows, so that no posterior is worked out again for the rates
+    # written out with the rows, so that no posterior is worked out again for the rates; and without them, for the steps
     members = checkpointed(found.select("row", "i", F.size("w").cast("bigint").alias("n"), model.posterior(F.col("w")).alias("p")))
-    history, reached, wanted = solve(members, model.domains, targets, raise_only=True)
+    history, reached, wanted = solve(checkpointed(members.select("n", "p")), model.domains, targets, raise_only=True)
     told(reached, wanted)
     chance = F.pmod(F.xxhash64(F.col("i"), F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     copies = F.floor(rate(F.col("p"), history, 1.0) + chance).cast("int")
