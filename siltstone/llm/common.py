@@ -91,7 +91,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     shared_folder(spark)
     done = df.checkpoint()._jdf
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
+    frame = DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
+    frame.checkpoint_file = done.queryExecution().logical().rdd().getCheckpointFile().get()
+    return frame
+
+
+def released(*frames: DataFrame) -> None:
+    """Deletes the files of frames from checkpointed(), which nothing may read again."""
+    for frame in frames:
+        deleted(frame.sparkSession, frame.checkpoint_file)
 
 
 def deleted(spark: SparkSession, path: str) -> None:

@@ -2,18 +2,20 @@
 
 Fingerprints within a few bits are not enough there: texts of similarity 0.8 lie up to 17 of 64 bits apart, and at
 such a radius neither block keys nor pivots choose pairs. So links have two nets, both verified by exact similarity:
-fingerprints within a radius, by pivot tables; and equal parts. For the latter the shingles of a set are dealt by hash
-into more parts than two similar sets can differ in, so that (but for chance in sets of a few shingles) at least one
-part is equal in both; a text's keys are its parts' contents. Of two sets of similarity 0.8 some 0.4 of the parts are
-equal, so PARTS of them, the same in all sets of a class, are enough: chance misses a pair once in ten million times.
-Texts under a key meet in stars: each with the key's first text, then, while that finds new links, with its next text,
-as far as they are not in one group already; where all but a few are in one group, these few meet all. So no key emits
-all its pairs, whatever its size. What that leaves out: two texts all of whose common keys hold many groups, and whose
-turn to lead does not come before a round without a new link.
+fingerprints within a radius, by pivot tables; and common shingles. For the latter all shingles have one order, and a
+set's keys are so many of its first ones that two similar sets, which differ in fewer, share a key: every pair of
+similar sets has one, whatever the order. The order puts the shingles last that a sample of texts shows to be frequent,
+so that a passage of many texts brings few together that are not similar.
+
+Texts under a key meet in stars first, each with the key's first text. That joins most groups without all their pairs.
+Then, under keys whose texts are in several groups still, all pairs of texts of different groups are looked at, but only
+by their sketches, counts of shingles by hash: where these differ by more than similar sets can, so do the sets. What
+passes is verified, some pairs of every two groups at first, then ever more of them, until no pair is left.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,27 +24,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import checkpointed, map_texts, sliced, texts
+from .common import checkpointed, map_texts, released, sliced, texts
 
-MULTIPLIER, STRIDE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+#: Texts in which frequent shingles are looked for, about, and how many of these go last in the order of shingles. Both only choose the order.
+SAMPLE, FREQUENT = 10_000, 100_000
 #: Keys that a worker holds before it hands them on, one for each key and first text.
 HELD = 2_000_000
-#: Parts of a set whose contents are keys.
-PARTS = 32
 #: Pairs of so many rows at most are broadcast, 40 bytes each.
 SMALL = 200_000
-#: Texts outside a key's largest group that meet all others under the key at once.
-OUTSIDERS = 8
+#: Counts of a sketch, and shingles up to which there are no more; for every doubling of these twice as many.
+COUNTS, SKETCHED = 32, 512
+#: Texts of a key that one task looks at; a key with more is split into chunks that meet pairwise.
+GROUP_ROWS = 4096
+#: Pairs of every two groups under a key that are verified first, and how many times more in each round after.
+FIRST_PAIRS, MORE_PAIRS = 128, 32
+#: Bits, as a power of 2, of the map by which workers hand on few sets that no pair wants.
+MAP_BITS = 24
 #: Texts that one task compares with one other.
 COMPARED = 1024
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingles(text: str, n: int = 5) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's n-word shingles; a shorter text is one shingle, one without words none."""
     return np.unique(simhash.shingle_hashes(text, n))
@@ -63,50 +64,72 @@ def classes(size: int, similarity: float) -> tuple[int, int, int]:
     return number, after - 1, int(after / similarity + 1e-9)
 
 
-def keys(found: np.ndarray, similarity: float) -> np.ndarray:
-    """The keys of a set: for its class and the next a hash of each part that is not empty."""
-    if not len(found):
-        return np.zeros(0, dtype=np.uint64)
-    number, *largest = classes(len(found), similarity)
-    out = []
-    for label, top in enumerate(largest, number):
-        differ = int((1 - similarity) / (1 + similarity) * 2 * top + 1e-9)
-        parts = np.uint64(int(1.1 * differ) + 5)
-        part = mixed(found * MULTIPLIER + np.uint64(label)) % parts
-        if parts > PARTS:
-            some = part < PARTS
-            chosen, part = found[some], part[some]
-            if not len(part):
-                continue
-        else:
-            chosen = found
-        order = np.argsort(part.astype(np.uint8), kind="stable")
-        part = part[order]
-        cut = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1))
-        sums = np.add.reduceat(mixed(chosen[order] + STRIDE), cut)
-        out.append(mixed(sums + part[cut] * STRIDE + np.uint64(label * int(MULTIPLIER) % 2**64)))
-    return np.concatenate([np.zeros(0, dtype=np.uint64), *out])
+def keys(found: np.ndarray, similarity: float, frequent: np.ndarray | None = None) -> np.ndarray:
+    """The keys of a sorted set: its first shingles, one more than it may have that a similar set lacks. frequent: the sorted shingles that come last."""
+    most = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1 if len(found) else 0
+    if frequent is None or not len(frequent):
+        return found[:most]
+    at = np.searchsorted(frequent, found)
+    at[at == len(frequent)] = 0
+    last = frequent[at] == found
+    first = found[~last][:most]
+    return np.concatenate((first, found[last][: most - len(first)]))
+
+
+def sketch(found: np.ndarray) -> bytes:
+    """How many shingles of a set have each value of their lowest bits, 255 at most."""
+    width = COUNTS
+    while width * SKETCHED < len(found) * COUNTS:
+        width *= 2
+    return np.bincount((found & np.uint64(width - 1)).astype(np.int64), minlength=width).clip(max=255).astype(np.uint8).tobytes()
+
+
+def counts(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches of one length as rows of so many counts, which may be fewer."""
+    out = np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(len(sketches), -1).astype(np.int16)
+    while out.shape[1] > width:
+        half = out.shape[1] // 2
+        out = out[:, :half] + out[:, half:]
+    return out
+
+
+def alike(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Which sets may be similar: their counts differ by no more than similar sets of these sizes do."""
+    return np.abs(a - b).sum(axis=1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * (sizes_a + sizes_b) + 1e-6
 
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-def nodes(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """doc_id, node and fp, the set's hash and the SimHash of the text."""
+def nodes(docs: DataFrame, id_col: str, text_col: str, similarity: float, n: int) -> DataFrame:
+    """doc_id, node and fp, the set's hash and the SimHash of the text, size, class and sketch of the set, and of some nodes the set."""
+    every = max(1, docs.count() // SAMPLE)
 
     def rows(ids, some):
-        prints, names = [], []
+        prints, names, sizes, bands, sketches, sample = [], [], [], [], [], []
         for t in some:
             found = simhash.shingle_hashes(t, n)
             prints.append(simhash.fingerprint_of(found))
-            names.append(node(np.unique(found)))
-        return {"doc_id": ids, "node": signed(np.array(names, dtype=np.uint64)), "fp": signed(np.array(prints, dtype=np.uint64))}
+            found = np.unique(found)
+            names.append(node(found))
+            sizes.append(len(found))
+            bands.append(classes(len(found), similarity)[0])
+            sketches.append(sketch(found))
+            sample.append(found.view(np.int64) if names[-1] % every == 0 else None)
+        return {"doc_id": ids, "node": signed(np.array(names, dtype=np.uint64)), "fp": signed(np.array(prints, dtype=np.uint64)), "size": sizes, "band": bands, "sketch": sketches, "sample": sample}
 
-    return map_texts(docs, id_col, text_col, rows, "doc_id bigint, node bigint, fp bigint")
+    return map_texts(docs, id_col, text_col, rows, "doc_id bigint, node bigint, fp bigint, size int, band int, sketch binary, sample array<bigint>")
 
 
-def meetings(docs: DataFrame, text_col: str, similarity: float, n: int) -> DataFrame:
+def frequent_shingles(own: DataFrame) -> np.ndarray:
+    """The most frequent shingles of the sampled nodes, sorted: FREQUENT at most."""
+    some = own.filter("sample is not null").groupBy("node").agg(F.first("sample").alias("sample"))
+    found = some.select(F.explode("sample").alias("s")).groupBy("s").agg(F.count("*").alias("n")).filter("n > 1")
+    return np.sort(found.orderBy(F.desc("n"), "s").limit(FREQUENT).select("s").toArrow().column("s").to_numpy().view(np.uint64))
+
+
+def meetings(docs: DataFrame, text_col: str, similarity: float, n: int, frequent: np.ndarray | None = None) -> DataFrame:
     """key, lead and node for all keys that two nodes have: each node but the first with an earlier one.
 
     A worker hands on one node a key of those it holds, and the pairs with it of the others. So a key that most texts have
@@ -124,7 +147,7 @@ def meetings(docs: DataFrame, text_col: str, similarity: float, n: int) -> DataF
         for part in sliced(batches, "t"):
             for t in texts(part, "t"):
                 found = shingles(t, n)
-                k = keys(found, similarity)
+                k = keys(found, similarity, frequent)
                 held.append((k, np.full(len(k), np.uint64(node(found)))))
             if sum(len(k) for k, _ in held) > HELD:
                 yield handed_on(held)
@@ -168,7 +191,8 @@ def meetings(docs: DataFrame, text_col: str, similarity: float, n: int) -> DataF
 def verified(docs: DataFrame, id_col: str, text_col: str, own: DataFrame, pairs: DataFrame, similarity: float, n: int) -> DataFrame:
     """Those of the distinct pairs (a, b) of nodes whose sets are similar. own: doc_id and node of all rows of docs.
 
-    Where the pairs are few only one document of each node is worked out, found by its id, and all without an id.
+    Where the pairs are few only one document of each node is worked out, found by its id, and all without an id; else all,
+    but few sets go on that no pair wants.
 
     One shuffle of the sets of b, and of that of a once for each COMPARED of them, so that a text with many is split.
     """
@@ -182,6 +206,7 @@ def verified(docs: DataFrame, id_col: str, text_col: str, own: DataFrame, pairs:
         ids = least.join(F.broadcast(wanted.select("node").distinct()), "node", "left_semi").select(F.col("doc_id").alias("wanted_id")).distinct()
         docs = docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias(text_col))
         docs = docs.join(F.broadcast(ids), F.col("i") == F.col("wanted_id"), "left_semi").union(docs.filter("i is null"))
+    bits = None if few else bit_map(wanted)
     wanted = F.broadcast(wanted) if few else wanted.hint("shuffle_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +215,7 @@ def verified(docs: DataFrame, id_col: str, text_col: str, own: DataFrame, pairs:
             names, found = [], []
             for t in texts(part, "t"):
                 own = shingles(t, n)
-                if (name := node(own)) not in seen:
+                if (name := node(own)) not in seen and (bits is None or bits[(at := name % 2**MAP_BITS) >> 3] >> (at & 7) & 1):
                     seen.add(name)
                     names.append(name)
                     found.append(own)
@@ -225,7 +250,7 @@ def assigned(docs: DataFrame, id_col: str, text_col: str, similarity: float, shi
     """
     if not 0 < similarity <= 1:
         raise ValueError("a similarity lies above 0, up to 1")
-    own = checkpointed(nodes(docs, id_col, text_col, shingle_words))
+    own = checkpointed(nodes(docs, id_col, text_col, similarity, shingle_words))
     return simhash.rooted(own.select("doc_id", "node"), lambda _: roots(docs, id_col, text_col, own, similarity, shingle_words, radius))
 
 
@@ -237,61 +262,154 @@ def roots(docs: DataFrame, id_col: str, text_col: str, own: DataFrame, similarit
     near = checkpointed(simhash.forest(prints.select("fp"), radius, simhash.enough_blocks(radius, None)))
     first = prints.select("fp", "first")
     near = near.join(first, near.a == first.fp).select(F.col("first").alias("x"), "b").join(first.withColumnRenamed("first", "y"), F.col("b") == F.col("fp")).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    met = checkpointed(meetings(docs, text_col, similarity, n))
-    every = checkpointed(same.union(near).union(met.select(F.col("lead").alias("a"), F.col("node").alias("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+    prints = same.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = checkpointed(meetings(docs, text_col, similarity, n, frequent_shingles(own)))
+    sketches = checkpointed(own.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "band", "sketch"))))
 
     def connected(pairs: DataFrame, links: DataFrame | None) -> tuple[DataFrame, bool]:
         """The links so far and those of new pairs, and whether there is a new one."""
-        more = checkpointed(verified(docs, id_col, text_col, own, pairs, similarity, n))
+        docs.sparkSession._jvm.System.gc()  # Spark deletes shuffles that no frame refers to any more, and only then
+        more = checkpointed(verified(docs, id_col, text_col, own, checkpointed(likely(pairs, sketches, similarity)), similarity, n))
         return (more if links is None else checkpointed(links.union(more))), not more.isEmpty()
 
-    # each node with its first one, then the pairs that are not in one group by then
-    tested = checkpointed(every.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    # each node with the one that leads most of its keys, and those with near fingerprints
+    stars = met.groupBy(F.col("lead").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n")).groupBy("b").agg(F.max(F.struct("n", "a")).alias("of")).select(F.col("of.a").alias("a"), "b")
+    tested = checkpointed(prints.union(stars).filter("a < b").distinct())
     links, _ = connected(tested, None)
     found = checkpointed(simhash.components(links))
-    rest = checkpointed(apart(every, found).join(tested, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links, new = connected(rest, links)
-        tested = checkpointed(tested.union(rest))
-        found = checkpointed(simhash.components(links)) if new else found
-    # keys whose nodes are in several groups: one node of each after the other meets those that are not in its own
+    # keys whose nodes are in several groups: all pairs of different groups, by and by
     members = met.select("key", "lead").union(met.select("key", "node")).toDF("key", "node").distinct()
-    members = checkpointed(open_keys(members, found))
-    lead = checkpointed(members.groupBy("key").agg(F.min("node").alias("lead")))
+    members = open_keys(members, found)
+    released(met)
+    most = FIRST_PAIRS
     while not members.isEmpty():
-        after = members.join(lead, "key").filter(F.col("node") > F.col("lead"))
-        lead = checkpointed(after.groupBy("key").agg(F.min(F.struct("node", "root")).alias("next")).select("key", F.col("next.node").alias("node"), F.col("next.root").alias("root")))
-        some = checkpointed(lead.union(outsiders(members)).distinct().toDF("key", "lead", "of"))
-        pairs = members.join(some, "key").filter(F.col("root") != F.col("of"))
-        pairs = checkpointed(pairs.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
-        links, new = connected(pairs, links)
-        if not new:
+        some = across(members, sketches, similarity, most)
+        whole = some.filter("a is null").isEmpty()
+        pairs = checkpointed(some.filter("a is not null").distinct().join(tested, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            links, new = connected(pairs, links)
+            tested = checkpointed(tested.union(pairs))
+            found = checkpointed(simhash.components(links)) if new else found
+        if whole:
             break
-        tested = checkpointed(tested.union(pairs))
-        found = checkpointed(simhash.components(links))
-        members, lead = checkpointed(open_keys(members.select("key", "node"), found)), lead.select("key", F.col("node").alias("lead"))
+        before, members, most = members, open_keys(members.select("key", "node"), found), most * MORE_PAIRS
+        released(before)
     return found
 
 
-def outsiders(members: DataFrame) -> DataFrame:
-    """key, node and root of the nodes outside their key's largest group, of keys that have no more than OUTSIDERS of them. So these meet all others, with pairs in proportion to the nodes."""
-    groups = members.groupBy("key", "root").agg(F.count("*").alias("n"))
-    largest = checkpointed(groups.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n")).filter(F.col("n") - F.col("top.n") <= OUTSIDERS).select("key", F.col("top.root").alias("most")))
-    return members.join(largest, "key").filter(F.col("root") != F.col("most")).select("key", "node", "root")
+def bit_map(wanted: DataFrame) -> bytes:
+    """A bit for each value of the lowest bits of a node, set where a wanted node has it. Its size is fixed."""
+    low = F.col("node").bitwiseAND(F.lit(2**MAP_BITS - 1))
+    found = wanted.select(F.shiftright(low, 3).cast("int").alias("at"), F.expr("shiftleft(1, cast(node & 7 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(2**MAP_BITS // 8, dtype=np.uint8)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    return out.tobytes()
 
 
-def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose nodes have different roots."""
-    roots = found.select(F.col("node").alias("a"), F.col("root").alias("of_a"))
-    with_a = pairs.join(roots, "a", "left").select("a", "b", F.coalesce("of_a", "a").alias("of_a"))
-    roots = found.select(F.col("node").alias("b"), F.col("root").alias("of_b"))
-    return with_a.join(roots, "b", "left").filter(F.col("of_a") != F.coalesce("of_b", "b")).select("a", "b")
+def likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets may be similar by their sizes and sketches."""
+    joined = pairs.select("a", "b")
+    for x in "ab":
+        joined = joined.join(sketches.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}")), x)
+    joined = checkpointed(joined.filter(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6))
+    for x in "ab":
+        joined = joined.join(sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")), x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist()
+            sizes = [batch.column(c).to_numpy() for c in ("size_a", "size_b")]
+            widths = np.array([(len(x), len(y)) for x, y in zip(left, right, strict=True)], dtype=np.int64).reshape(-1, 2)
+            good = np.zeros(len(left), dtype=bool)
+            for w in np.unique(widths, axis=0):
+                at = np.flatnonzero((widths == w).all(axis=1))
+                x, y = (counts([some[i] for i in at], int(w.min())) for some in (left, right))
+                good[at] = alike(x, y, sizes[0][at], sizes[1][at], similarity)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], names=["a", "b"])
+
+    return joined.mapInArrow(run, "a bigint, b bigint")
+
+
+def across(members: DataFrame, sketches: DataFrame, similarity: float, most: int) -> DataFrame:
+    """Pairs (a, b) of nodes under one key but with different roots whose sets may be similar by their sketches. members: key, node and root.
+
+    Of every two roots under a key, or chunks of one, at most so many pairs; a row of nulls says that some were left out.
+    """
+    # by class: a set also goes to the next one, where those of its own class do not meet again
+    rows = checkpointed(members.join(sketches.drop("sketch"), "node").withColumn("label", F.explode(F.array("band", F.col("band") + 1))))
+    chunks = checkpointed(rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key", "label", F.ceil(F.col("n") / F.lit(GROUP_ROWS)).cast("int").alias("chunks")))
+    grouped = (
+        rows.join(chunks, ["key", "label"])
+        .select("key", "label", "node", "root", "size", "band", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
+        .select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+        .select("node", "root", "size", (F.col("band") < F.col("label")).alias("below"), F.xxhash64("key", "label", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("g"), F.when(F.col("chunk") != F.col("other"), F.col("chunk")).alias("chunk"))
+        .join(sketches.select("node", "sketch"), "node")
+    )
+    names = "node", "root", "size", "sketch", "below", "g", "chunk"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            table = pa.Table.from_batches([batch]).select(names)
+            table = table if held is None else pa.concat_tables([held, table])
+            g = table.column("g").to_numpy()
+            cut = int(np.searchsorted(g, g[-1]))  # the last group may go on in the next batch
+            held = table.slice(cut)
+            if cut:
+                yield found(table.slice(0, cut))
+        if held is not None:
+            yield found(held)
+
+    def found(table: pa.Table) -> pa.RecordBatch:
+        node, root, size, below, g = (table.column(c).to_numpy() for c in ("node", "root", "size", "below", "g"))
+        # a chunk's rows do not meet each other where they meet another chunk
+        chunk = table.column("chunk").fill_null(-1).to_numpy()
+        sketch = table.column("sketch").to_pylist()
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(g)) + 1, [len(g)]))
+        out, cut = [], False
+        for start, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            order = start + np.argsort(size[start:end], kind="stable")
+            sizes, roots, own, low = size[order].astype(np.int64), root[order], chunk[order], below[order]
+            width = min(len(sketch[i]) for i in order)
+            flat = np.concatenate([counts([sketch[i]], width) for i in order])
+            last = np.searchsorted(sizes, sizes / similarity + 1e-6, side="right")
+            pairs = []
+            for i in range(len(order) - 1):
+                j = np.arange(i + 1, last[i])
+                j = j[(roots[j] != roots[i]) & ((own[j] != own[i]) | (own[i] < 0)) & ~(low[j] & low[i])]
+                if len(j):
+                    j = j[alike(flat[i], flat[j], sizes[i], sizes[j], similarity)]
+                    kept = first_few(roots[j][:, None], most)
+                    cut |= len(kept) < len(j)
+                    pairs.append(np.stack((np.full(len(kept), i), j[kept]), axis=1))
+            if pairs and len(every := np.concatenate(pairs)):
+                kept = first_few(np.sort(roots[every], axis=1), most)
+                cut |= len(kept) < len(every)
+                out.append(np.sort(node[order][every[kept]], axis=1))
+        a, b = np.concatenate([np.zeros((0, 2), dtype=np.int64), *out]).T
+        rest = [None] if cut else []
+        return pa.RecordBatch.from_arrays([pa.array([*x.tolist(), *rest], pa.int64()) for x in (a, b)], names=["a", "b"])
+
+    done = checkpointed(grouped.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint"))
+    released(rows, chunks)
+    return done
+
+
+def first_few(labels: np.ndarray, most: int) -> np.ndarray:
+    """The places of the first rows, at most so many of each value."""
+    order = np.lexsort(labels.T)
+    ordered = labels[order]
+    opens = np.concatenate(([True], (ordered[1:] != ordered[:-1]).any(axis=1))) if len(order) else np.zeros(0, dtype=bool)
+    at = np.arange(len(order))
+    return np.sort(order[at - np.maximum.accumulate(np.where(opens, at, 0)) < most])
 
 
 def open_keys(members: DataFrame, found: DataFrame) -> DataFrame:
     """key, node and root of the members of keys whose nodes have several roots."""
     rooted = checkpointed(members.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
     several = checkpointed(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key"))
-    return rooted.join(several, "key", "left_semi")
+    done = checkpointed(rooted.join(several, "key", "left_semi"))
+    released(rooted, several)
+    return done

@@ -330,3 +330,62 @@ def test_a_star_with_many_leaves(spark):
     found = simhash.components(edges).collect()
     assert len(found) == 5001 and {r.root for r in found} == {0}
     assert simhash.components(edges.limit(0)).count() == 0
+
+
+def test_keys_are_complete_for_the_worst_pairs():
+    """Every pair of similar sets shares a key, however few shingles and whichever of them are frequent; long sets have ever more keys."""
+    rng = np.random.default_rng(8)
+    for _ in range(6000):
+        n, drop = (int(x) for x in rng.integers((4, 0), (24, 3)))
+        a = np.unique(rng.integers(0, 2**64, size=n, dtype=np.uint64))
+        b = np.unique(np.concatenate((a[drop:], rng.integers(0, 2**64, size=int(rng.integers(0, 3)), dtype=np.uint64))))
+        shared = len(np.intersect1d(a, b))
+        if shared >= 0.8 * (len(a) + len(b) - shared) - 1e-9:
+            frequent = np.sort(rng.choice(np.union1d(a, b), int(rng.integers(0, n)), replace=False))
+            for last in (None, frequent):
+                assert len(np.intersect1d(similar.keys(a, 0.8, last), similar.keys(b, 0.8, last)))
+    a = np.unique(rng.integers(0, 2**64, size=2000, dtype=np.uint64))
+    assert len(similar.keys(a, 0.8)) == len(similar.keys(a, 0.8, a[:1900])) == 401 and len(similar.keys(a[:0], 0.8)) == 0
+    assert not len(np.intersect1d(similar.keys(a, 0.8, a[:1000]), a[:1000]))
+
+
+def test_sketches_never_part_similar_sets():
+    rng = np.random.default_rng(9)
+    for n in (3, 40, 500, 640, 700, 5000):
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 2**64, size=n, dtype=np.uint64))
+            b = np.unique(np.concatenate((a[int(rng.integers(0, n // 8 + 1)) :], rng.integers(0, 2**64, size=int(rng.integers(0, n // 8 + 1)), dtype=np.uint64))))
+            x, y = similar.sketch(a), similar.sketch(b)
+            shared, width = len(np.intersect1d(a, b)), min(len(x), len(y))
+            good = similar.alike(similar.counts([x], width), similar.counts([y], width), np.array([len(a)]), np.array([len(b)]), 0.8)[0]
+            assert good or shared < 0.8 * (len(a) + len(b) - shared) - 1e-9
+    a, b = (np.unique(rng.integers(0, 2**64, size=900, dtype=np.uint64)) for _ in range(2))
+    assert not similar.alike(*(similar.counts([similar.sketch(x)], 64) for x in (a, b)), np.array([900]), np.array([900]), 0.8)[0]
+
+
+@pytest.mark.parametrize(("rows", "first"), [(4096, 4), (7, 1)])
+def test_groups_under_one_key_meet_whoever_leads(spark, monkeypatch, rows, first):
+    """Pairs of similar sets under one key that many other groups have; no round ends the search while a pair is left."""
+    monkeypatch.setattr(similar, "GROUP_ROWS", rows)
+    monkeypatch.setattr(similar, "FIRST_PAIRS", first)
+    monkeypatch.setattr(similar, "MORE_PAIRS", 2)
+    # the keys are one passage's only, so that nothing else brings the pairs together
+    monkeypatch.setattr(similar, "meetings", lambda docs, text_col, similarity, n, frequent: spark.createDataFrame([(7, leads[0], x) for x in leads[1:]], "key bigint, lead bigint, node bigint"))
+    rng = random.Random(21)
+    texts = {}
+    for c in range(40):
+        base = [f"g{c}x{i}" for i in range(120)]
+        for _ in range(1 + c % 4):
+            texts[len(texts)] = " ".join(edited(base, 2, rng))
+    leads = sorted({int(np.uint64(similar.node(similar.shingles(t))).astype(np.int64)) for t in texts.values()})
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in similar.assigned(df, "doc_id", "text", 0.8, radius=0).collect()}
+    assert got == brute_similar(texts)
+
+
+def test_many_pairs_are_verified_by_a_map(spark, monkeypatch):
+    rng = random.Random(22)
+    texts = {i: " ".join(edited([f"m{i // 5}x{j}" for j in range(90)], 2, rng)) for i in range(60)}
+    monkeypatch.setattr(similar, "SMALL", 0)
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in similar.assigned(df, "doc_id", "text", 0.8).collect()} == brute_similar(texts)
