@@ -26,8 +26,12 @@ from .common import arrow_schema, sliced, texts
 from .unigram import SCALE, Unigram
 
 SCHEMA = "doc_id bigint, sample int, ids array<int>, n_pieces int, log_prob double, score double, log_inclusion double"
-#: Segments whose lattices a worker keeps; all go when there are more.
-STORE_SEGMENTS = 200_000
+#: Edges of the lattices that a worker keeps, 22 bytes each; all lattices go when there are more.
+STORE_EDGES = 3_000_000
+#: Bytes of text that are worked on at once; their segments, paths and random numbers take some fifty times as much.
+SLICE_BYTES = 600_000
+#: Characters of the segments whose lattices are built at once.
+BUILT_CHARS = 30_000
 #: How far apart the keys of a row's copies are.
 COPY_STRIDE = 0x632BE59BD9B4E019
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -43,8 +47,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def uniform(keys: np.ndarray, counter) -> np.ndarray:
     """Numbers in (0, 1) for 64-bit keys and a counter."""
-    with np.errstate(over="ignore"):
-        bits = mixed(keys + np.uint64(MULTIPLIER) * (np.asarray(counter, dtype=np.uint64) + np.uint64(1)))
+    bits = mixed(keys + np.uint64(MULTIPLIER) * (np.array(counter, dtype=np.uint64, ndmin=1) + np.uint64(1)))
     return ((bits >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
@@ -86,10 +89,10 @@ class Trie:
 
 
 class Column:
-    """An array that grows at its end."""
+    """An array that grows at its end. Room that was never used takes no memory."""
 
     def __init__(self, kind: type):
-        self.room, self.n = np.empty(1024, dtype=kind), 0
+        self.room, self.n = np.empty(STORE_EDGES * 3 // 2, dtype=kind), 0
 
     def append(self, values: np.ndarray) -> None:
         end = self.n + len(values)
@@ -104,6 +107,18 @@ class Column:
         return self.room[: self.n]
 
 
+class Numbers(dict):
+    """Numbers segments as they are first asked for; fresh holds those since it was last emptied."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, segment: str) -> int:
+        self[segment] = n = len(self)
+        self.fresh.append(segment)
+        return n
+
+
 class Lattices:
     """The lattices of distinct segments: nodes are character boundaries, edges into a node are adjacent."""
 
@@ -112,13 +127,15 @@ class Lattices:
         self.log_p = np.full(len(model.pieces), -np.inf)
         for i, s in model.scores.items():
             self.log_p[i] = theta * s / SCALE
+        self.columns = {name: Column(kind) for name, kind in self.KINDS.items()}
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = Numbers()
         self.unknown: list[str] = []
         self.unknown_ids: dict[int, int] = {}
-        self.columns = {name: Column(kind) for name, kind in self.KINDS.items()}
+        for column in self.columns.values():
+            column.n = 0
         self.columns["first"].append(np.zeros(1, dtype=np.int64))
         self.view()
 
@@ -129,19 +146,20 @@ class Lattices:
         self.base, self.size, self.first, self.reach, self.p, self.piece, self.length = (self.columns[name].values() for name in self.KINDS)
 
     def look_up(self, segments: list[str]) -> np.ndarray:
-        """Numbers of segments, adding lattices of new ones."""
-        index = self.index
-        if len(index) > STORE_SEGMENTS:
+        """Numbers of segments, adding lattices of new ones. What was numbered before may be forgotten."""
+        if len(self.p) > STORE_EDGES:
             self.clear()
-            index = self.index
-        new = [s for s in dict.fromkeys(segments) if s not in index]
-        if new:
-            self.add(new)
-        return np.fromiter(map(index.__getitem__, segments), dtype=np.int64, count=len(segments))
+        index = self.index
+        found = np.fromiter(map(index.__getitem__, segments), dtype=np.int64, count=len(segments))
+        if fresh := index.fresh:
+            index.fresh = []
+            share = np.cumsum(np.fromiter(map(len, fresh), dtype=np.int64, count=len(fresh))) // BUILT_CHARS
+            cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), len(fresh)]
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                self.add(fresh[a:z])
+        return found
 
     def add(self, segments: list[str]) -> None:
-        start = len(self.index)
-        self.index.update((s, start + i) for i, s in enumerate(segments))
         chars = np.frombuffer("".join(segments).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
         size = np.fromiter(map(len, segments), dtype=np.int64, count=len(segments))
         ends = np.cumsum(size)
@@ -262,10 +280,8 @@ class Path:
 
     __slots__ = ("arrivals", "counts", "edges", "first_word", "log_prob", "log_before", "out", "time")
 
-    def __init__(self, store: Lattices, edges, counts, time: float, key: np.ndarray, branch: int):
+    def __init__(self, store: Lattices, edges, log: np.ndarray, counts, time: float, key: np.ndarray, branch: int):
         self.edges, self.counts, self.time = edges, counts, time
-        with np.errstate(divide="ignore"):
-            log = np.log(store.p[edges])
         self.log_prob = float(log.sum())
         # beyond a prefix of probability 0 in double precision no subtree ever arrives
         n = 512
@@ -274,9 +290,8 @@ class Path:
         near = edges[:n]
         self.log_before = np.cumsum(log[:n]) - log[:n]
         self.out = {}
-        with np.errstate(divide="ignore", over="ignore"):
-            rate = np.exp(self.log_before) * (1.0 - store.p[near])
-            self.arrivals = time - np.log(uniform(np.full(len(near), key), np.arange(len(near)) * 2 + 1_000_003)) / np.maximum(rate, 0.0)
+        rate = np.exp(self.log_before) * (1.0 - store.p[near])
+        self.arrivals = time - np.log(uniform(key, np.arange(len(near)) * 2 + 1_000_003)) / np.maximum(rate, 0.0)
         self.arrivals[:branch] = np.inf  # the path it branches from has those
 
 
@@ -324,15 +339,19 @@ def sample_texts(store: Lattices, keys: list[int], all_texts: list[str], k: int)
         doc = np.repeat(docs, left)
         place = np.arange(int(left.sum())) - np.repeat(np.cumsum(left) - left, left) + np.repeat(done, left)
         edges, counts = store.draw(words[starts[doc] + place], keyed(doc, place, n))
+        with np.errstate(divide="ignore"):
+            logs = np.log(store.p[edges])
         total = np.concatenate(([0], np.cumsum(counts)))
         word_cut = np.concatenate(([0], np.cumsum(left)))
         for j, d in enumerate(plans):
             head, head_counts, b, time, mine = plans[d]
             a, z = word_cut[j], word_cut[j + 1]
-            fresh, fresh_counts = edges[total[a] : total[z]], counts[a:z]
-            if len(head_counts):
-                fresh, fresh_counts = np.concatenate((head, fresh)), np.concatenate((head_counts, fresh_counts))
-            found[d].append(Path(store, fresh, fresh_counts, time, mine, b))
+            fresh, fresh_logs, fresh_counts = edges[total[a] : total[z]], logs[total[a] : total[z]], counts[a:z]
+            with np.errstate(divide="ignore", over="ignore"):
+                if len(head_counts):
+                    fresh_logs = np.concatenate((np.log(store.p[head]), fresh_logs))
+                    fresh, fresh_counts = np.concatenate((head, fresh)), np.concatenate((head_counts, fresh_counts))
+                found[d].append(Path(store, fresh, fresh_logs, fresh_counts, time, mine, b))
     return [[finished(store, path, kappa[d]) for path in paths] for d, paths in enumerate(found)]
 
 
@@ -400,7 +419,7 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     def run(batches):
         store = lattices(model, theta)
         last, copy = None, 0
-        for part in sliced(batches, "t", 1_500_000):
+        for part in sliced(batches, "t", SLICE_BYTES):
             ids, keys, some = part.column("i").to_pylist(), part.column("k").to_pylist(), texts(part, "t")
             if number_copies:
                 for n, row in enumerate(zip(ids, some, strict=True)):

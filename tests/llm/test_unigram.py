@@ -124,3 +124,22 @@ def test_sample_query(docs, spark):
     back = gumbel.decode(gumbel.sample(docs.filter("doc_id = 1"), k=1)).collect()
     assert back[0].text == docs.filter("doc_id = 1").first().text
     assert gumbel.sample(docs.limit(0)).count() == 0
+
+
+def test_a_worker_keeps_a_bounded_store(monkeypatch):
+    """What is kept is bounded by edges, not by segments, which may be long; forgetting and building by pieces change no sample."""
+    rng = np.random.default_rng(31)
+    some = ["".join(rng.choice(list("etaoin shrdlu"), 400)) for _ in range(40)]
+    model = unigram.load()
+    whole = gumbel.Lattices(model, 1.0)
+    want = gumbel.sample_texts(whole, list(range(40)), some, 2)
+    monkeypatch.setattr(gumbel, "STORE_EDGES", 2000)
+    monkeypatch.setattr(gumbel, "BUILT_CHARS", 50)
+    store = gumbel.Lattices(model, 1.0)
+    got, most = [], 0
+    for i, text in enumerate(some):
+        got += gumbel.sample_texts(store, [i], [text], 2)
+        most = max(most, len(store.p))
+    assert most < 2000 + 400 * 20 < len(whole.p)
+    for a, b in zip(want, got, strict=True):
+        assert [x[0].tolist() for x in a] == [x[0].tolist() for x in b] and [x[1:] for x in a] == [x[1:] for x in b]
