@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import warnings
 from collections.abc import Callable, Iterable, Iterator
@@ -19,8 +20,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def trimmed() -> None:
+    """Gives memory that is free back to the machine: workers live on from task to task, and what one task needed once would add to what the next needs."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def sliced(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into slices of at most `limit` bytes of `column`, or of one row."""
+    trimmed()
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = total = 0
@@ -31,6 +40,7 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             total += n
         if start < len(sizes):
             yield batch.slice(start)
+    trimmed()
 
 
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:

@@ -9,8 +9,9 @@ so that a passage of many texts brings few together that are not similar.
 
 Texts under a key meet in stars first, each with the key's first text. That joins most groups without all their pairs.
 Then, under keys whose texts are in several groups still, all pairs of texts of different groups are looked at, but only
-by their sketches, counts of shingles by hash: where these differ by more than similar sets can, so do the sets. What
-passes is verified, some pairs of every two groups at first, then ever more of them, until no pair is left.
+by their sketches, counts of shingles by hash: where these differ by more than similar sets can, so do the sets. Of keys
+that just the same texts have one is looked at. What passes is verified, some pairs of every two groups at first, then,
+under the keys that have more, ever more of them, until no pair is left.
 """
 
 from __future__ import annotations
@@ -24,16 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import checkpointed, map_texts, released, sliced, texts
+from .common import checkpointed, map_texts, released, sliced, texts, trimmed
 
-#: Texts in which frequent shingles are looked for, about, and how many of these go last in the order of shingles. Both only choose the order.
-SAMPLE, FREQUENT = 10_000, 100_000
+#: Texts in which frequent shingles are looked for, about, or one of so many where that is more, and how many of these go last in the order of shingles. They only choose the order.
+SAMPLE, EVERY, FREQUENT = 10_000, 16, 100_000
 #: Keys that a worker holds before it hands them on, one for each key and first text.
 HELD = 2_000_000
+#: Rows of a batch that a worker hands on: the JVM holds a batch outside its heap.
+BATCH_ROWS = 65_536
 #: Pairs of so many rows at most are broadcast, 40 bytes each.
 SMALL = 200_000
 #: Counts of a sketch, and shingles up to which there are no more; for every doubling of these twice as many.
-COUNTS, SKETCHED = 32, 512
+COUNTS, SKETCHED = 32, 128
 #: Texts of a key that one task looks at; a key with more is split into chunks that meet pairwise.
 GROUP_ROWS = 4096
 #: Pairs of every two groups under a key that are verified first, and how many times more in each round after.
@@ -104,7 +107,7 @@ def signed(x: np.ndarray) -> pa.Array:
 
 def nodes(docs: DataFrame, id_col: str, text_col: str, similarity: float, n: int) -> DataFrame:
     """doc_id, node and fp, the set's hash and the SimHash of the text, size, class and sketch of the set, and of some nodes the set."""
-    every = max(1, docs.count() // SAMPLE)
+    every = max(1, min(EVERY, docs.count() // SAMPLE))
 
     def rows(ids, some):
         prints, names, sizes, bands, sketches, sample = [], [], [], [], [], []
@@ -150,21 +153,25 @@ def meetings(docs: DataFrame, text_col: str, similarity: float, n: int, frequent
                 k = keys(found, similarity, frequent)
                 held.append((k, np.full(len(k), np.uint64(node(found)))))
             if sum(len(k) for k, _ in held) > HELD:
-                yield handed_on(held)
+                yield from handed_on(held)
                 held = []
         if held:
-            yield handed_on(held)
+            yield from handed_on(held)
+        held = []
+        trimmed()
 
-    def handed_on(held) -> pa.RecordBatch:
+    def handed_on(held) -> Iterator[pa.RecordBatch]:
         key, own = (np.concatenate(x).view(np.int64) for x in zip(*held, strict=True))
         order = np.lexsort((own, key))
         key, own = key[order], own[order]
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (own[1:] != own[:-1]))) if len(key) else np.zeros(0, dtype=bool)
         key, own = key[new], own[new]
         if not len(key):
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, schema=schema)
+            return
         opens, at = firsts(key, own)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(own[at], mask=opens), pa.array(own)], schema=schema)
+        for begin in range(0, len(key), BATCH_ROWS):
+            some = slice(begin, begin + BATCH_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(own[at[some]], mask=opens[some]), pa.array(own[some])], schema=schema)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # key and its first node
@@ -278,22 +285,22 @@ def roots(docs: DataFrame, id_col: str, text_col: str, own: DataFrame, similarit
     links, _ = connected(tested, None)
     found = checkpointed(simhash.components(links))
     # keys whose nodes are in several groups: all pairs of different groups, by and by
-    members = met.select("key", "lead").union(met.select("key", "node")).toDF("key", "node").distinct()
-    members = open_keys(members, found)
+    members = open_keys(one_of_equal_keys(met), found)
     released(met)
     most = FIRST_PAIRS
     while not members.isEmpty():
         some = across(members, sketches, similarity, most)
-        whole = some.filter("a is null").isEmpty()
+        rest = checkpointed(some.filter("a is null").select(F.col("b").alias("key")).distinct())
         pairs = checkpointed(some.filter("a is not null").distinct().join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             links, new = connected(pairs, links)
             tested = checkpointed(tested.union(pairs))
             found = checkpointed(simhash.components(links)) if new else found
-        if whole:
+        released(some)
+        if rest.isEmpty():
             break
-        before, members, most = members, open_keys(members.select("key", "node"), found), most * MORE_PAIRS
-        released(before)
+        before, members, most = members, open_keys(members.select("key", "node").join(rest, "key", "left_semi"), found), most * MORE_PAIRS
+        released(before, rest)
     return found
 
 
@@ -333,7 +340,7 @@ def likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFram
 def across(members: DataFrame, sketches: DataFrame, similarity: float, most: int) -> DataFrame:
     """Pairs (a, b) of nodes under one key but with different roots whose sets may be similar by their sketches. members: key, node and root.
 
-    Of every two roots under a key, or chunks of one, at most so many pairs; a row of nulls says that some were left out.
+    Of every two roots under a key, or chunks of one, at most so many pairs; where some were left out, a row of null and the key says so.
     """
     # by class: a set also goes to the next one, where those of its own class do not meet again
     rows = checkpointed(members.join(sketches.drop("sketch"), "node").withColumn("label", F.explode(F.array("band", F.col("band") + 1))))
@@ -342,10 +349,10 @@ def across(members: DataFrame, sketches: DataFrame, similarity: float, most: int
         rows.join(chunks, ["key", "label"])
         .select("key", "label", "node", "root", "size", "band", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
         .select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-        .select("node", "root", "size", (F.col("band") < F.col("label")).alias("below"), F.xxhash64("key", "label", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("g"), F.when(F.col("chunk") != F.col("other"), F.col("chunk")).alias("chunk"))
+        .select("key", "node", "root", "size", (F.col("band") < F.col("label")).alias("below"), F.xxhash64("key", "label", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("g"), F.when(F.col("chunk") != F.col("other"), F.col("chunk")).alias("chunk"))
         .join(sketches.select("node", "sketch"), "node")
     )
-    names = "node", "root", "size", "sketch", "below", "g", "chunk"
+    names = "key", "node", "root", "size", "sketch", "below", "g", "chunk"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -363,19 +370,19 @@ def across(members: DataFrame, sketches: DataFrame, similarity: float, most: int
             yield found(held)
 
     def found(table: pa.Table) -> pa.RecordBatch:
-        node, root, size, below, g = (table.column(c).to_numpy() for c in ("node", "root", "size", "below", "g"))
+        key, node, root, size, below, g = (table.column(c).to_numpy() for c in ("key", "node", "root", "size", "below", "g"))
         # a chunk's rows do not meet each other where they meet another chunk
         chunk = table.column("chunk").fill_null(-1).to_numpy()
         sketch = table.column("sketch").to_pylist()
         starts = np.concatenate(([0], np.flatnonzero(np.diff(g)) + 1, [len(g)]))
-        out, cut = [], False
+        out, rest = [], []
         for start, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             order = start + np.argsort(size[start:end], kind="stable")
             sizes, roots, own, low = size[order].astype(np.int64), root[order], chunk[order], below[order]
             width = min(len(sketch[i]) for i in order)
             flat = np.concatenate([counts([sketch[i]], width) for i in order])
             last = np.searchsorted(sizes, sizes / similarity + 1e-6, side="right")
-            pairs = []
+            pairs, cut = [], False
             for i in range(len(order) - 1):
                 j = np.arange(i + 1, last[i])
                 j = j[(roots[j] != roots[i]) & ((own[j] != own[i]) | (own[i] < 0)) & ~(low[j] & low[i])]
@@ -388,9 +395,10 @@ def across(members: DataFrame, sketches: DataFrame, similarity: float, most: int
                 kept = first_few(np.sort(roots[every], axis=1), most)
                 cut |= len(kept) < len(every)
                 out.append(np.sort(node[order][every[kept]], axis=1))
+            if cut:
+                rest.append(int(key[start]))
         a, b = np.concatenate([np.zeros((0, 2), dtype=np.int64), *out]).T
-        rest = [None] if cut else []
-        return pa.RecordBatch.from_arrays([pa.array([*x.tolist(), *rest], pa.int64()) for x in (a, b)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([*a.tolist(), *(None for _ in rest)], pa.int64()), pa.array([*b.tolist(), *rest], pa.int64())], names=["a", "b"])
 
     done = checkpointed(grouped.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint"))
     released(rows, chunks)
@@ -406,9 +414,19 @@ def first_few(labels: np.ndarray, most: int) -> np.ndarray:
     return np.sort(order[at - np.maximum.accumulate(np.where(opens, at, 0)) < most])
 
 
+def one_of_equal_keys(met: DataFrame) -> DataFrame:
+    """key and node of all nodes of the met keys, but of keys with the same nodes only the smallest: the others bring the same pairs together. Nodes are told apart by two hashes of 64 bits and their number."""
+    members = checkpointed(met.select("key", "lead").union(met.select("key", "node")).toDF("key", "node").distinct())
+    sets = members.groupBy("key").agg(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)))
+    kept = checkpointed(sets.groupBy("n", "x0", "x1").agg(F.min("key").alias("key")).select("key"))
+    done = checkpointed(members.join(kept, "key", "left_semi"))
+    released(members, kept)
+    return done
+
+
 def open_keys(members: DataFrame, found: DataFrame) -> DataFrame:
     """key, node and root of the members of keys whose nodes have several roots."""
-    rooted = checkpointed(members.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    rooted = checkpointed(members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
     several = checkpointed(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key"))
     done = checkpointed(rooted.join(several, "key", "left_semi"))
     released(rooted, several)

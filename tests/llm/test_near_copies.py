@@ -389,3 +389,26 @@ def test_many_pairs_are_verified_by_a_map(spark, monkeypatch):
     monkeypatch.setattr(similar, "SMALL", 0)
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
     assert {r.doc_id: r.component_id for r in similar.assigned(df, "doc_id", "text", 0.8).collect()} == brute_similar(texts)
+
+
+def test_keys_with_the_same_nodes_meet_once(spark):
+    met = spark.createDataFrame([(k, 10, n) for k in (5, 1, 2) for n in (11, 12)] + [(3, 10, 11), (4, 10, 12)], "key bigint, lead bigint, node bigint")
+    assert sorted(map(tuple, similar.one_of_equal_keys(met).collect())) == [(1, 10), (1, 11), (1, 12), (3, 10), (3, 11), (4, 10), (4, 12)]
+
+
+def test_only_keys_with_pairs_left_out_are_looked_at_again(spark):
+    """Two roots of three nodes each under key 7 have nine pairs, under key 8 they have one."""
+    members = spark.createDataFrame([(7, i, 1 if i < 4 else 4) for i in range(1, 7)] + [(8, 1, 1), (8, 4, 4)], "key bigint, node bigint, root bigint")
+    sketches = spark.createDataFrame([(i, 32, similar.classes(32, 0.8)[0], bytearray([1] * 32)) for i in range(1, 7)], "node bigint, size int, band int, sketch binary")
+    for most, rest in ((1, {7}), (9, set())):
+        rows = similar.across(members, sketches, 0.8, most).collect()
+        assert {r.b for r in rows if r.a is None} == rest
+        assert len({(r.a, r.b) for r in rows if r.a is not None}) >= most
+
+
+def test_worker_batches_are_small(spark, monkeypatch):
+    """Keys go to the JVM in batches of bounded size, however many a worker holds; nothing is lost between them."""
+    df = spark.createDataFrame([(i, " ".join(f"q{i % 40}x{j}" for j in range(60 + i % 3))) for i in range(120)], "doc_id bigint, text string").coalesce(1)
+    want = sorted(map(tuple, similar.meetings(df, "text", 0.8, 5).collect()))
+    monkeypatch.setattr(similar, "BATCH_ROWS", 7)
+    assert sorted(map(tuple, similar.meetings(df, "text", 0.8, 5).collect())) == want
