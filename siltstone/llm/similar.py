@@ -10,8 +10,9 @@ so that a passage of many texts brings few together that are not similar.
 Texts under a key meet in stars first, each with the key's first text. That joins most groups without all their pairs.
 Then, under keys whose texts are in several groups still, all pairs of texts of different groups are looked at, but only
 by their sketches, counts of shingles by hash: where these differ by more than similar sets can, so do the sets. Of keys
-that just the same texts have one is looked at. What passes is verified, some pairs of every two groups at first, then,
-under the keys that have more, ever more of them, until no pair is left.
+that just the same texts have one is looked at. Of what passes a key hands on only spanning forests of its groups, a few
+at first, so its pairs grow with its texts and not with their square. These are verified, and under keys that have more
+pairs between groups still ever more forests, until no pair is left.
 """
 
 from __future__ import annotations
@@ -35,12 +36,16 @@ HELD = 2_000_000
 BATCH_ROWS = 65_536
 #: Pairs of so many rows at most are broadcast, 40 bytes each.
 SMALL = 200_000
-#: Counts of a sketch, and shingles up to which there are no more; for every doubling of these twice as many.
-COUNTS, SKETCHED = 32, 128
+#: Counts of a sketch, and shingles up to which there are no more; for every doubling of these twice as many, and a quarter of that beyond WIDE counts, which are the bulk of what is shuffled.
+COUNTS, SKETCHED, WIDE = 128, 128, 512
+#: Sketches of a key meet by sums of so many counts first.
+SUMMED = 4
 #: Texts of a key that one task looks at; a key with more is split into chunks that meet pairwise.
 GROUP_ROWS = 4096
-#: Pairs of every two groups under a key that are verified first, and how many times more in each round after.
-FIRST_PAIRS, MORE_PAIRS = 128, 32
+#: Spanning forests of a key's groups, without a common pair, that are verified first, and how many times more in each round after.
+FIRST_PAIRS, MORE_PAIRS = 4, 32
+#: Counts of sketches that are compared at once.
+COMPARED_COUNTS = 2**21
 #: Bits, as a power of 2, of the map by which workers hand on few sets that no pair wants.
 MAP_BITS = 24
 #: Texts that one task compares with one other.
@@ -82,7 +87,7 @@ def keys(found: np.ndarray, similarity: float, frequent: np.ndarray | None = Non
 def sketch(found: np.ndarray) -> bytes:
     """How many shingles of a set have each value of their lowest bits, 255 at most."""
     width = COUNTS
-    while width * SKETCHED < len(found) * COUNTS:
+    while width * SKETCHED < len(found) * COUNTS // (1 if width < WIDE else 4):
         width *= 2
     return np.bincount((found & np.uint64(width - 1)).astype(np.int64), minlength=width).clip(max=255).astype(np.uint8).tobytes()
 
@@ -96,6 +101,16 @@ def counts(sketches: list[bytes], width: int) -> np.ndarray:
     return out
 
 
+def counted(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches of any lengths as rows of so many counts."""
+    lengths = np.array([len(x) for x in sketches])
+    out = np.zeros((len(sketches), width), dtype=np.int16)
+    for n in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == n)
+        out[at] = counts([sketches[x] for x in at], width)
+    return out
+
+
 def alike(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, similarity: float) -> np.ndarray:
     """Which sets may be similar: their counts differ by no more than similar sets of these sizes do."""
     return np.abs(a - b).sum(axis=1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * (sizes_a + sizes_b) + 1e-6
@@ -340,7 +355,7 @@ def likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFram
 def across(members: DataFrame, sketches: DataFrame, similarity: float, most: int) -> DataFrame:
     """Pairs (a, b) of nodes under one key but with different roots whose sets may be similar by their sketches. members: key, node and root.
 
-    Of every two roots under a key, or chunks of one, at most so many pairs; where some were left out, a row of null and the key says so.
+    Of a key, or two chunks of one, those of so many spanning forests of its roots; where pairs were left out, a row of null and the key says so.
     """
     # by class: a set also goes to the next one, where those of its own class do not meet again
     rows = checkpointed(members.join(sketches.drop("sketch"), "node").withColumn("label", F.explode(F.array("band", F.col("band") + 1))))
@@ -375,43 +390,68 @@ def across(members: DataFrame, sketches: DataFrame, similarity: float, most: int
         chunk = table.column("chunk").fill_null(-1).to_numpy()
         sketch = table.column("sketch").to_pylist()
         starts = np.concatenate(([0], np.flatnonzero(np.diff(g)) + 1, [len(g)]))
-        out, rest = [], []
+        out, rest = [np.zeros((0, 2), dtype=np.int64)], []
         for start, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             order = start + np.argsort(size[start:end], kind="stable")
             sizes, roots, own, low = size[order].astype(np.int64), root[order], chunk[order], below[order]
-            width = min(len(sketch[i]) for i in order)
-            flat = np.concatenate([counts([sketch[i]], width) for i in order])
+            some = [sketch[i] for i in order]
+            width = min(map(len, some))
+            summed = counted(some, width // SUMMED)
             last = np.searchsorted(sizes, sizes / similarity + 1e-6, side="right")
-            pairs, cut = [], False
+            forests, cut = Forests(roots, most), False
             for i in range(len(order) - 1):
                 j = np.arange(i + 1, last[i])
                 j = j[(roots[j] != roots[i]) & ((own[j] != own[i]) | (own[i] < 0)) & ~(low[j] & low[i])]
-                if len(j):
-                    j = j[alike(flat[i], flat[j], sizes[i], sizes[j], similarity)]
-                    kept = first_few(roots[j][:, None], most)
-                    cut |= len(kept) < len(j)
-                    pairs.append(np.stack((np.full(len(kept), i), j[kept]), axis=1))
-            if pairs and len(every := np.concatenate(pairs)):
-                kept = first_few(np.sort(roots[every], axis=1), most)
-                cut |= len(kept) < len(every)
-                out.append(np.sort(node[order][every[kept]], axis=1))
+                if not len(j):
+                    continue
+                j = j[alike(summed[i], summed[j], sizes[i], sizes[j], similarity)]
+                full = forests.full(i, j)
+                cut |= bool(full.any())
+                if not len(j := j[~full]):
+                    continue
+                mine, step = counted(some[i : i + 1], width), max(1, COMPARED_COUNTS // width)
+                near = [alike(mine, counted([some[x] for x in j[at : at + step]], width), sizes[i], sizes[j[at : at + step]], similarity) for at in range(0, len(j), step)]
+                kept, more = forests.add(i, j[np.concatenate(near)])
+                cut |= more
+                out.append(np.sort(node[order][np.stack((np.full(len(kept), i), kept), axis=1)], axis=1))
             if cut:
                 rest.append(int(key[start]))
-        a, b = np.concatenate([np.zeros((0, 2), dtype=np.int64), *out]).T
-        return pa.RecordBatch.from_arrays([pa.array([*a.tolist(), *(None for _ in rest)], pa.int64()), pa.array([*b.tolist(), *rest], pa.int64())], names=["a", "b"])
+        a, b = np.concatenate(out).T
+        left = pa.array(rest, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(a), pa.nulls(len(rest), pa.int64())]), pa.concat_arrays([pa.array(b), left])], names=["a", "b"])
 
     done = checkpointed(grouped.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint"))
     released(rows, chunks)
     return done
 
 
-def first_few(labels: np.ndarray, most: int) -> np.ndarray:
-    """The places of the first rows, at most so many of each value."""
-    order = np.lexsort(labels.T)
-    ordered = labels[order]
-    opens = np.concatenate(([True], (ordered[1:] != ordered[:-1]).any(axis=1))) if len(order) else np.zeros(0, dtype=bool)
-    at = np.arange(len(order))
-    return np.sort(order[at - np.maximum.accumulate(np.where(opens, at, 0)) < most])
+class Forests:
+    """Spanning forests of the roots of a key's rows: a pair goes into the first forest that does not connect its roots, at most so many there are."""
+
+    def __init__(self, roots: np.ndarray, most: int):
+        self.roots = np.unique(roots, return_inverse=True)[1].astype(np.int32)
+        self.most, self.labels = most, []
+
+    def full(self, i: int, j: np.ndarray) -> np.ndarray:
+        """Which rows j no forest has room for beside row i. What the last forest connects, all before it do."""
+        return self.labels[-1][j] == self.labels[-1][i] if len(self.labels) == self.most else np.zeros(len(j), dtype=bool)
+
+    def add(self, i: int, j: np.ndarray) -> tuple[np.ndarray, bool]:
+        """Those of the rows j that a forest takes in pairs with row i, and whether there are others."""
+        taken, at = [j[:0]], 0
+        while len(j) and at < self.most:
+            if at == len(self.labels):
+                self.labels.append(self.roots.copy())
+            labels = self.labels[at]
+            other, first = np.unique(labels[j], return_index=True)
+            first = first[other != labels[i]]
+            taken.append(j[first])
+            joined = np.zeros(len(labels), dtype=bool)
+            joined[labels[j[first]]] = True
+            labels[joined[labels]] = labels[i]
+            j = np.delete(j, first)
+            at += 1
+        return np.concatenate(taken), len(j) > 0
 
 
 def one_of_equal_keys(met: DataFrame) -> DataFrame:

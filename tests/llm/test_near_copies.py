@@ -412,3 +412,44 @@ def test_worker_batches_are_small(spark, monkeypatch):
     want = sorted(map(tuple, similar.meetings(df, "text", 0.8, 5).collect()))
     monkeypatch.setattr(similar, "BATCH_ROWS", 7)
     assert sorted(map(tuple, similar.meetings(df, "text", 0.8, 5).collect())) == want
+
+
+def test_pairs_of_a_key_grow_with_its_texts(spark):
+    """Texts that all may be similar, each in a group of its own, hand on spanning forests, not the square of their number."""
+    n = 300
+    members = spark.createDataFrame([(7, i, i) for i in range(n)], "key bigint, node bigint, root bigint")
+    sketches = spark.createDataFrame([(i, 128, similar.classes(128, 0.8)[0], bytearray([1] * 128)) for i in range(n)], "node bigint, size int, band int, sketch binary")
+    for most in (1, 3):
+        rows = similar.across(members, sketches, 0.8, most).collect()
+        pairs = [(r.a, r.b) for r in rows if r.a is not None]
+        assert [r.b for r in rows if r.a is None] == [7] and n - 1 <= len(pairs) <= most * (n - 1)
+        label = np.arange(n)
+        simhash.unite(label, *np.array(pairs).T)
+        assert not label.any()
+
+
+def test_forests_take_every_pair_in_the_end():
+    """Forests share no pair, the first connects what all pairs connect, and enough of them take all pairs."""
+    rng = np.random.default_rng(31)
+    for _ in range(40):
+        n = int(rng.integers(2, 30))
+        roots, near = rng.integers(0, n, size=n), rng.random((n, n)) < rng.random()
+        rows = [(i, j[(roots[j] != roots[i]) & near[i][j]]) for i in range(n) for j in [np.arange(i + 1, n)]]
+        for most in (1, 3, n * n):
+            forests, taken, left = similar.Forests(roots, most), [], False
+            for i, j in rows:
+                full = forests.full(i, j)
+                kept, more = forests.add(i, j[~full])
+                taken += [(i, x) for x in kept.tolist()]
+                left |= more or bool(full.any())
+            every = [(i, x) for i, j in rows for x in j.tolist()]
+            groups = []
+            for pairs in (every, taken):
+                groups.append(np.unique(roots, return_inverse=True)[1])
+                if pairs:
+                    a, b = groups[-1][np.array(pairs)].T
+                    label = np.arange(n)
+                    simhash.unite(label, a, b)
+                    groups[-1] = label[groups[-1]]
+            assert len(set(taken)) == len(taken) <= most * (len(set(roots.tolist())) - 1) and set(taken) <= set(every)
+            assert np.array_equal(*groups) and left == (len(taken) < len(every))
